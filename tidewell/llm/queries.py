@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, quality, simhash
+from . import bpe, decontaminate, exact_dedup, lm, quality, sentences, simhash, substrings, urls
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -16,6 +16,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("VALUES " + ", ".join(str(r) for r in RULES) + " AS rules(host, path, verdict)")
+    return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP3_SQL = f"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+urls AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(h, p, v) AS (VALUES {", ".join(str(r) for r in RULES)}),
+best AS (SELECT host, path, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict
+         FROM (SELECT DISTINCT host, path FROM urls) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN best USING (host, path)
+"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests_of_tokens(bpe.bpe_encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
 
@@ -40,6 +64,11 @@ FROM documents WINDOW g AS (PARTITION BY sha256(coalesce(text, '')))
 """
 
 
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentences.remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_removed", "kept_text")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.rate(docs, quality.train(docs, quality.grades_of(table(spark, sf_dir, "labels"))))
@@ -53,11 +82,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op8_quality": op8_quality, "op9_decontaminate": op9_decontaminate,
-    }
+    found = [op2_suffix_array, op3_url_filter, op4_bpe, op5_simhash, op6_exact_dedup, op7_sentence_spans, op8_quality, op9_decontaminate, op10_context_mixing]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op3_url_filter": OP3_SQL, "op6_exact_dedup": OP6_SQL}

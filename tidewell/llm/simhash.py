@@ -111,8 +111,11 @@ def spanning_links(tree_values: list[int], queries: list[int], radius: int) -> l
 
 
 def shard_masks(n: int, radius: int) -> list[int]:
-    """Masks of the choices of blocks; so many blocks that shards have a few rows each if bits are even."""
-    for agree in range(1, 64 - radius):
+    """Masks of the choices of blocks; so many blocks that shards have a few rows each if bits are even.
+
+    Two blocks at least, so that rows to place grow in step with the fingerprints up to some hundred million of them.
+    """
+    for agree in range(2, 64 - radius):
         blocks = agree + radius
         if agree * 64 / blocks >= math.log2(max(n, 2)) - 3 or blocks >= 9:
             break
