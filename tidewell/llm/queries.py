@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lm, quality, sentences, simhash, substrings, urls
+from . import bpe, decontaminate, exact_dedup, lm, pii, quality, sentences, simhash, substrings, urls
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents"), key="tidewell")
+
+
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"), length=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -87,7 +91,7 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_suffix_array, op3_url_filter, op4_bpe, op5_simhash, op6_exact_dedup, op7_sentence_spans, op8_quality, op9_decontaminate, op10_context_mixing]
+    found = [op1_pii_surrogates, op2_suffix_array, op3_url_filter, op4_bpe, op5_simhash, op6_exact_dedup, op7_sentence_spans, op8_quality, op9_decontaminate, op10_context_mixing]
     return {f.__name__: f for f in found}
 
 
