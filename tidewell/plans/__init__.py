@@ -1 +1,5 @@
+"""Queries over the driver's tables: one for each operator, with its SQL where SQL can express it."""
 
+from . import evaluations, readings
+
+QUERIES = readings.QUERIES | evaluations.QUERIES
