@@ -17,11 +17,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tidewell-{spark.sparkContext.applicationId}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, so a lost executor costs no upstream work."""
+def keep(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: cuts lineage, so a lost executor costs no upstream work.
+
+    free: let the driver collect its garbage at once, upon which Spark deletes the shuffle files of the finished job. For
+    jobs of several large rounds; else those files stay until the driver's next collection.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -112,18 +112,22 @@ def once(row: np.ndarray, *names: np.ndarray) -> np.ndarray:
     return new
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, k: int = 20, slice_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 100, k: int = 20, slice_bytes: int = 1 << 20, group_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per row: id_col, n_bytes, n_removed, n_spans, kept (bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier, in a document of a smaller id or before in
     the same one, judged on the input. Matches never cross documents. Null texts are empty; shorter texts stay whole. Null
     ids come after all others, and between themselves none is first. Rows with the same id and text count as one document;
     of different texts with one id, none is first. Other columns aren't read. An empty table gives no rows.
+
+    In round 3 the stretches of one start meet in one task, unless they number over group_rows: then their windows are
+    aggregated one by one, with map-side minima.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = rows.select("id", F.xxhash64("text").alias("content"), "text")
-    signed = lambda x: pa.array(x.view(np.int64))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, slice_bytes):
@@ -135,71 +139,162 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 20, slice_bytes:
     found = keyed.mapInArrow(scan, f"id {kind}, content long, kname long, stretch long")
     # Round 1: unique starts leave.
     shared = found.groupBy("kname").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kname")
-    alive = keep(found.join(shared, "kname", "left_semi"), "anchors")
+    alive = keep(found.join(shared, "kname", "left_semi"), "anchors", free=True)
     # Round 2: the first document of each stretch.
-    stretches = keep(alive.groupBy("kname", "stretch").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "stretches")
-    mixed = stretches.groupBy("kname").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("kname")
-    told = alive.join(stretches, ["kname", "stretch"])
+    stretches = keep(alive.groupBy("kname", "stretch").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "stretches", free=True)
+    mixed = keep(stretches.groupBy("kname").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed-starts", free=True)
     later = "(id > first or (id is null and first is not null))"
-    decided = told.where(f"n > 1 and {later}").select("id", "content", F.col("stretch").alias("name"), F.lit(0).cast("byte").alias("sort"))
+    told = keep(alive.join(stretches, ["kname", "stretch"]).select("id", "content", "kname", "stretch", F.expr(f"n > 1 and {later}").alias("late")), "told", free=True)
+    decided = told.where("late").select("id", "content", "stretch", F.lit(None).cast("binary").alias("mask"))
     # Round 3: where stretches of one start differ, their windows, from the first document of each.
-    open_ = told.where(f"not {later}").join(mixed, "kname", "left_semi").groupBy("id", "content").agg(F.collect_set("stretch").alias("open"))
-    open_ = keep(open_, "open-stretches")
+    open_ = told.where("not late").join(mixed, "kname").groupBy("id", "content").agg(F.collect_set(F.struct("stretch", (F.col("kinds") > group_rows).alias("large"))).alias("open"))
+    open_ = open_.select("id", "content", F.transform("open", lambda x: x["stretch"]).alias("open"), F.transform("open", lambda x: x["large"].cast("byte")).alias("large"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, slice_bytes):
-            a = Anchors(*raw(batch.column(2)), length, k)
-            row, name, _ = open_windows(a, listed(a.row, a.stretch, batch.column(3)))
-            new = once(row, name)
-            index = pa.array(row[new])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), signed(name[new])], names=["id", "content", "name"])
+            data, offsets = raw(batch.column(2))
+            a = Anchors(data, offsets, length, k)
+            data = data[int(offsets[0]) : int(offsets[-1])].tobytes()
+            row, name = flat(batch.column(3))
+            large = dict(zip(zip(row.tolist(), name.tolist(), strict=True), flat(batch.column(4))[1].astype(bool).tolist(), strict=True))
+            chosen = np.flatnonzero(listed(a.row, a.stretch, batch.column(3)) & once(a.row, a.kname, a.stretch))
+            index = pa.array(a.row[chosen])
+            first, last = a.first[chosen], a.last[chosen]
+            text = [data[f : l + length] for f, l in zip(first.tolist(), last.tolist(), strict=True)]
+            big = [large.get(x, False) for x in zip(a.row[chosen].tolist(), a.stretch[chosen].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(index), batch.column(1).take(index), signed(a.kname[chosen]), signed(a.stretch[chosen]), pa.array((a.at[chosen] - first).astype(np.int16)), pa.array(text, pa.binary()), pa.array(big)],
+                names=["id", "content", "kname", "stretch", "lead", "context", "large"],
+            )
+
+    o = open_.withColumnsRenamed({"id": "f_id", "content": "f_content"})
+    meets = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("content") == F.col("f_content"))
+    each = keyed.join(o, meets).select("id", "content", "text", "open", "large").mapInArrow(contexts, f"id {kind}, content long, kname long, stretch long, lead short, context binary, large boolean")
+    each = keep(each, "contexts", free=True)
+    together = each.where("not large").drop("large").repartition("kname").sortWithinPartitions("kname")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Complete groups of one start, some thousand rows at a time."""
+        held: list[pa.RecordBatch] = []
+
+        def flush(upto: int | None) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            if upto is not None:
+                held.extend(table.slice(upto).to_batches())
+                table = table.slice(0, upto)
+            for batch in table.to_batches():
+                yield late_windows(batch, length)
+
+        for batch in batches:
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                held.append(part)
+                if sum(b.num_rows for b in held) >= 4000:
+                    names = np.concatenate([b.column(2).to_numpy() for b in held])
+                    change = np.flatnonzero(names[1:] != names[:-1])
+                    if change.size:
+                        yield from flush(int(change[-1]) + 1)
+        if held:
+            yield from flush(None)
+
+    masks = together.mapInArrow(compare, f"id {kind}, content long, stretch long, mask binary")
 
-    def with_list(found: DataFrame, column: str) -> DataFrame:
-        f = found.select(F.col("id").alias("f_id"), F.col("content").alias("f_content"), column)
-        return keyed.join(f, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("content") == F.col("f_content"))).select("id", "content", "text", column)
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                row, place, name = context_windows(part, length)
+                index = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), part.column(3).take(index), pa.array(place.astype(np.int32)), signed(name)], names=["id", "content", "stretch", "place", "name"])
 
-    single = with_list(open_, "open").mapInArrow(windows, f"id {kind}, content long, name long")
-    single = keep(single, "windows")
+    single = each.where("large").drop("large").mapInArrow(windows, f"id {kind}, content long, stretch long, place int, name long")
     repeated = single.groupBy("name").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    late = single.join(repeated, "name").where(later).select("id", "content", "name", F.lit(1).cast("byte").alias("sort"))
-    marks = decided.union(late).groupBy("id", "content").agg(F.collect_set(F.when(F.col("sort") == 0, F.col("name"))).alias("stretches"), F.collect_set(F.when(F.col("sort") == 1, F.col("name"))).alias("windows"))
-    marks = keep(marks, "marks")
+    late = single.join(repeated, "name").where(later)
+    bits = F.transform(F.sequence(F.lit(0), F.lit(length - k)), lambda i: F.array_contains("places", i).cast("string"))
+    spelt = F.encode(F.array_join(F.transform(bits, lambda b: F.when(b == "true", "1").otherwise("0")), ""), "US-ASCII")
+    singles = late.groupBy("id", "content", "stretch").agg(F.collect_set("place").alias("places")).select("id", "content", "stretch", spelt.alias("mask"))
+    marks = decided.union(masks).union(singles).groupBy("id", "content").agg(F.collect_list(F.struct("stretch", "mask")).alias("marks"))
+    marks = keep(marks.select("id", "content", F.transform("marks", lambda m: m["stretch"]).alias("stretches"), F.transform("marks", lambda m: m["mask"]).alias("masks")), "marks", free=True)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, slice_bytes):
             data, offsets = raw(batch.column(1))
             a = Anchors(data, offsets, length, k)
             data, at = data[int(offsets[0]) : int(offsets[-1])], a.offsets
-            # A stretch is decided where the document isn't its first, or has it before; a window likewise.
-            whole = listed(a.row, a.stretch, batch.column(2)) | ~once(a.row, a.kname, a.stretch)
+            # A stretch goes where the document isn't its first, or has it before; else its windows that a mask names.
+            row, name = flat(batch.column(2))
+            masks = [m for x in batch.column(3) if x.is_valid for m in x.as_py()]
+            full = np.array([m is None for m in masks], bool)
+            whole = among(a.row, a.stretch, row[full], name[full]) | ~once(a.row, a.kname, a.stretch)
             gone = spread(a.first[whole], a.last[whole], len(a.windows))
-            names = np.unique(flat(batch.column(3))[1])
-            row, name, place = open_windows(a, ~whole)
-            some = np.isin(name, names)
-            gone[place[some][listed(row[some], name[some], batch.column(3))]] = True
+            partly = {(r, n): m for r, n, m in zip(row.tolist(), name.tolist(), masks, strict=True) if m is not None}
+            for i in np.flatnonzero(among(a.row, a.stretch, row[~full], name[~full]) & ~whole).tolist():
+                mask = np.frombuffer(partly[int(a.row[i]), int(a.stretch[i])], np.uint8) == 0x31
+                f, l = int(a.first[i]), int(a.last[i]) + 1
+                gone[f:l] |= mask[: l - f]
             # Only starts that a text has twice can hold windows that it has twice.
             order = np.lexsort((a.kname, a.row))
             same = (a.kname[order[1:]] == a.kname[order[:-1]]) & (a.row[order[1:]] == a.row[order[:-1]])
             twice = np.zeros(len(a.row), bool)
             twice[order[1:][same]] = twice[order[:-1][same]] = True
-            row, name, place = open_windows(a, twice)
-            gone[place[~once(row, name)]] = True
-            cover = np.zeros(len(data) + 1, np.int32)
+            own, named, place = open_windows(a, twice)
+            gone[place[~once(own, named)]] = True
             starts = np.flatnonzero(gone)
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + length, -1)
-            removed = np.cumsum(cover[:-1]) > 0
+            removed = spread(starts, starts + length - 1, len(data)) if len(data) else np.zeros(0, bool)
             out = []
             for a0, a1 in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                own = removed[a0:a1]
-                spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum())
-                out.append((a1 - a0, int(own.sum()), spans, data[a0:a1][~own].tobytes()))
+                cut = removed[a0:a1]
+                spans = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum())
+                out.append((a1 - a0, int(cut.sum()), spans, data[a0:a1][~cut].tobytes()))
             n, r, s, kept = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    m = marks.select(F.col("id").alias("m_id"), F.col("content").alias("m_content"), "stretches", "windows")
-    joined = keyed.join(m, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("content") == F.col("m_content")), "left")
-    return joined.select("id", "text", "stretches", "windows").mapInArrow(strip, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    m = marks.withColumnsRenamed({"id": "f_id", "content": "f_content"})
+    joined = keyed.join(m, meets, "left")
+    return joined.select("id", "text", "stretches", "masks").mapInArrow(strip, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def context_windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, name) of all windows in contexts; the name also tells their start and where it lies in the window.
+
+    Columns: id, content, kname, stretch, lead, context.
+    """
+    text = batch.column(5)
+    size = np.diff(np.frombuffer(text.buffers()[1], np.int32, len(text) + 1 + text.offset)[text.offset :]).astype(np.int64)
+    data = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
+    names = name_strings(data, length, {})
+    begin = np.cumsum(size) - size
+    many = np.maximum(size - length + 1, 0)
+    row = np.repeat(np.arange(len(size)), many)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    lead = batch.column(4).to_numpy().astype(np.int64)[row] - place
+    start = batch.column(2).to_numpy().view(np.uint64)[row]
+    with np.errstate(over="ignore"):
+        return row, place, mix(names[begin[row] + place] + mix(start + lead.astype(np.uint64) * np.uint64(MULTIPLIER)))
+
+
+def late_windows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """id, content, stretch, mask (a 0 or 1 for each window) of contexts with a window that a smaller id has, too."""
+    row, place, name = context_windows(batch, length)
+    ids = batch.column(0)
+    rank = np.full(len(ids), len(ids), np.int64)  # null ids come last
+    valid = np.flatnonzero(np.asarray(ids.is_valid()))
+    rank[valid] = np.unique(ids.take(pa.array(valid)).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    order = np.lexsort((rank[row], name))
+    group = np.cumsum(np.concatenate(([True], name[order][1:] != name[order][:-1]))) - 1
+    least = rank[row][order][np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))] if len(order) else np.zeros(0, np.int64)
+    late = np.zeros(len(row), bool)
+    late[order] = rank[row][order] > least[group]
+    has = np.unique(row[late])
+    begin = np.searchsorted(row, has)
+    end = np.searchsorted(row, has, "right")
+    flags = (late.astype(np.uint8) + 0x30).tobytes()
+    mask = [flags[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    index = pa.array(has)
+    return pa.RecordBatch.from_arrays([ids.take(index), batch.column(1).take(index), batch.column(3).take(index), pa.array(mask, pa.binary())], names=["id", "content", "stretch", "mask"])
 
 
 def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -209,12 +304,16 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(size)), size), (np.concatenate(values).astype(np.int64) if values else np.zeros(0, np.int64)).view(np.uint64)
 
 
+def among(row: np.ndarray, name: np.ndarray, in_row: np.ndarray, in_name: np.ndarray) -> np.ndarray:
+    """Whether each (row, name) stands among others."""
+    with np.errstate(over="ignore"):
+        key = lambda r, x: mix(x + (r.astype(np.uint64) + np.uint64(1)) * np.uint64(MULTIPLIER))
+        return np.isin(key(row, name), key(in_row, in_name))
+
+
 def listed(row: np.ndarray, name: np.ndarray, lists: pa.Array) -> np.ndarray:
     """Whether each (row, name) stands in the row's list."""
-    l_row, l_name = flat(lists)
-    with np.errstate(over="ignore"):
-        key = lambda r, x: x + r.astype(np.uint64) * np.uint64(MULTIPLIER)
-        return np.isin(key(row, name), key(l_row, l_name))
+    return among(row, name, *flat(lists))
 
 
 def spread(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
