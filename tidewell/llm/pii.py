@@ -162,6 +162,8 @@ def surrogates(entities: DataFrame, key: str, attempts: int = 40) -> DataFrame:
     open_, done = real, None
     for i in range(attempts):
         drawn = open_.withColumn("surrogate", propose(F.col("kind"), F.col("name"), F.col("gender"), F.lit(i), key))
+        given = lambda c: F.split(c, " ")[0]
+        drawn = drawn.where((F.col("kind") != "name") | (given("surrogate") != given("name")))
         least = drawn.groupBy("kind", "surrogate").agg(F.min("name").alias("owner"))
         free = least.join(names, ["kind", "surrogate"], "left_anti")
         if done is not None:
