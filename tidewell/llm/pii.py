@@ -184,9 +184,11 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    mentions = F.regexp_extract_all("text", F.lit(f"({ANY})"), 1)
-    found = keep(rows.select(F.xxhash64("text").alias("content"), F.length("text").alias("size"), F.array_distinct(mentions).alias("mentions")).where(F.size("mentions") > 0).distinct(), "mentions")
-    each = found.select("content", "size", F.explode("mentions").alias("entity"))
+    any_ = F.lit(f"({ANY})")
+    # Texts without entities, nearly all, are only searched, here and at the end; the others are kept and joined.
+    marked = rows.withColumn("own", F.regexp_extract_all("text", any_, 1)).where(F.size("own") > 0)
+    marked = keep(marked.withColumns({"content": F.xxhash64("text"), "size": F.length("text")}), "marked-texts")
+    each = marked.select("content", "size", F.array_distinct("own").alias("own")).distinct().select("content", "size", F.explode("own").alias("entity"))
     distinct = each.select("entity").distinct().withColumn("kind", kind_of(F.col("entity"))).where("kind is not null")
     known = keep(distinct.withColumns({"name": canonical(F.col("kind"), F.col("entity")), "gender": F.when(F.col("kind") == "name", gender_of(F.col("entity"))).otherwise("u")}), "known-entities")
     drawn = surrogates(known, key)
@@ -194,16 +196,9 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     poured = keep(poured, "poured")
     maps = each.join(poured, "entity").groupBy("content", "size").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("new", "kind")))).alias("changes"))
     maps = keep(maps, "changes")
-    own = F.regexp_extract_all("text", F.lit(f"({ANY})"), 1)
-    parts = F.split("text", ANY, -1)
     swapped = F.transform("own", lambda m: F.coalesce(F.try_element_at("changes", m)["new"], m))
-    joined = (
-        rows.withColumns({"content": F.xxhash64("text"), "size": F.length("text")}).join(maps, ["content", "size"], "left")
-        .withColumn("own", F.when(F.col("changes").isNotNull(), own)).withColumn("parts", F.when(F.col("changes").isNotNull(), parts))
-    )
-    rebuilt = F.array_join(F.transform("parts", lambda p, i: F.concat(p, F.coalesce(F.get(swapped, i), F.lit("")))), "")
+    rebuilt = F.array_join(F.transform(F.split("text", ANY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(swapped, i), F.lit("")))), "")
     kinds = F.array_sort(F.array_distinct(F.transform(F.map_values("changes"), lambda x: x["kind"])))
-    return joined.select(
-        F.col("id").alias(id_col), F.when(F.col("changes").isNull(), F.col("text")).otherwise(rebuilt).alias("text"), F.coalesce(F.size("own"), F.lit(0)).cast("long").alias("n_entities"),
-        F.coalesce(F.array_join(kinds, ","), F.lit("")).alias("kinds"),
-    )
+    changed = marked.join(maps.hint("merge"), ["content", "size"], "left").select("id", rebuilt.alias("text"), F.size("own").cast("long").alias("n_entities"), F.coalesce(F.array_join(kinds, ","), F.lit("")).alias("kinds"))
+    same = rows.where(~F.coalesce(F.regexp("text", any_), F.lit(False))).select("id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
+    return same.union(changed).withColumnsRenamed({"id": id_col, "text": "text"})
