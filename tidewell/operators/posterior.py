@@ -57,6 +57,6 @@ def edge_mass(w: DataFrame, members: DataFrame, axis: str) -> DataFrame:
     return both.select(F.lit(axis).alias("axis"), F.when(real, F.col("a")).alias("at_least"), F.when(real, F.col("b")).alias("at_most"))
 
 
-def best_member(w: DataFrame) -> Column:
-    """Member of the largest weight; ties go to the first."""
+def best_member() -> Column:
+    """Aggregate over (member, w): the member of the largest weight; ties go to the first."""
     return F.max_by("member", F.struct("w", -F.col("member")))
