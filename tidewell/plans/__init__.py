@@ -1,5 +1,5 @@
 """Queries over the driver's tables: one for each operator, with its SQL where SQL can express it."""
 
-from . import evaluations, ingest, models, readings
+from . import evaluations, geometry, ingest, models, readings
 
-QUERIES = readings.QUERIES | evaluations.QUERIES | models.QUERIES | ingest.QUERIES
+QUERIES = readings.QUERIES | evaluations.QUERIES | models.QUERIES | ingest.QUERIES | geometry.QUERIES
