@@ -12,14 +12,14 @@ def map_readings(readings: DataFrame, sites: DataFrame, key: str, site_key: str,
     First the exact key, then, for keys of digits alone, the one site key that is the same number (leading zeros aside).
     Site keys that name several sites are dropped as conflicts. Null keys are dropped.
     """
-    by_key = sites.where(F.col(site_key).isNotNull()).groupBy(F.col(site_key).cast("string").alias("k")).agg(F.min(site).alias("s"), F.count_distinct(site).alias("n_sites"))
-    number = F.when(F.col("k").rlike("^[0-9]{1,18}$"), F.col("k").cast("bigint"))
-    by_number = by_key.groupBy(number.alias("i")).agg(F.min("s").alias("i_site"), F.count(F.lit(1)).alias("n_same")).where("n_same = 1 and i is not null")
+    by_key = sites.where(F.col(site_key).isNotNull()).groupBy(F.col(site_key).cast("string").alias("_k")).agg(F.min(site).alias("_s"), F.count_distinct(site).alias("_n_sites"))
+    number = F.when(F.col("_k").rlike("^[0-9]{1,18}$"), F.col("_k").cast("bigint"))
+    by_number = by_key.groupBy(number.alias("_i")).agg(F.min("_s").alias("_i_site"), F.count(F.lit(1)).alias("_n_same")).where("_n_same = 1 and _i is not null")
     own = F.col(key).cast("string")
-    out = readings.join(by_key, own == F.col("k"), "left").join(by_number, F.when(own.rlike("^[0-9]{1,18}$"), own.cast("bigint")) == F.col("i"), "left")
-    reason = F.when(own.isNull(), "no key").when(F.col("n_sites") > 1, "key names several sites").when(F.col("k").isNull() & F.col("i").isNull(), "unknown key")
-    found = F.when(reason.isNull(), F.coalesce("s", "i_site"))
-    return out.withColumns({"site": found, "disposition": F.when(reason.isNull(), "used").otherwise("dropped"), "reason": reason}).drop("k", "s", "n_sites", "i", "i_site", "n_same")
+    out = readings.join(by_key, own == F.col("_k"), "left").join(by_number, F.when(own.rlike("^[0-9]{1,18}$"), own.cast("bigint")) == F.col("_i"), "left")
+    reason = F.when(own.isNull(), "no key").when(F.col("_n_sites") > 1, "key names several sites").when(F.col("_k").isNull() & F.col("_i").isNull(), "unknown key")
+    found = F.when(reason.isNull(), F.coalesce("_s", "_i_site"))
+    return out.withColumns({"site": found, "disposition": F.when(reason.isNull(), "used").otherwise("dropped"), "reason": reason}).drop("_k", "_s", "_n_sites", "_i", "_i_site", "_n_same")
 
 
 def last_before(readings: DataFrame, cutoff: Column, key: str, when: str, tie: str, value: str) -> DataFrame:

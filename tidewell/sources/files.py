@@ -25,7 +25,7 @@ def kind_of(content: Column) -> Column:
     text = F.decode(head, "ISO-8859-1")
     words = {
         "xml": r"^\s*(?:\xEF\xBB\xBF)?<\?xml", "html": r"(?i)^\s*<(?:!doctype html|html|head|body|div)", "geojson": r'^\s*\{[^\[]*"type"\s*:\s*"(?:FeatureCollection|Feature|Point|LineString|Polygon)"',
-        "json": r"^\s*[\{\[]", "model": r"(?im)^\s*\[(?:TITLE|JUNCTIONS|PIPES|RESERVOIRS|OPTIONS)\]", "dxf": r"^\s*0\s*\r?\n\s*SECTION", "table": r"^[^\n]*[,;\t|][^\n]*\n",
+        "model": r"(?im)^\s*\[(?:TITLE|JUNCTIONS|PIPES|RESERVOIRS|OPTIONS)\]", "json": r"^\s*[\{\[]", "dxf": r"^\s*0\s*\r?\n\s*SECTION", "table": r"^[^\n]*[,;\t|][^\n]*\n",
     }
     for kind, pattern in reversed(words.items()):
         out = F.when(F.regexp(text, F.lit(pattern)), kind).otherwise(out)
