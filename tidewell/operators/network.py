@@ -56,3 +56,22 @@ def incident(links: DataFrame, value: str) -> DataFrame:
     """(node, degree, mean, least) of the links at each node."""
     ends = links.select(F.explode(F.array("a", "b")).alias("node"), value)
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.avg(value).alias("mean"), F.min(value).alias("least"))
+
+
+def reachable(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, hops) of nodes that sources reach along directed edges; each round looks at the newest nodes only."""
+    seen = sources.select("node").distinct().withColumn("hops", F.lit(0))
+    newest = seen
+    for i in range(1, rounds):
+        step = newest.join(edges, newest["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        newest = cut(step.withColumn("hops", F.lit(i)))
+        if newest.isEmpty():
+            break
+        seen = seen.union(newest)
+    return seen
+
+
+def boundary(edges: DataFrame, inside: DataFrame) -> DataFrame:
+    """Edges from a node of `inside` to one that isn't."""
+    kept = inside.select("node")
+    return edges.join(kept, edges["a"] == kept["node"], "left_semi").join(kept, edges["b"] == kept["node"], "left_anti")
