@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lm, pii, quality, sentences, simhash, substrings, urls
+from . import bpe, decontaminate, exact_dedup, lm, oracles, pii, quality, sentences, simhash, substrings, urls
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -61,13 +61,6 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
 
 
-OP6_SQL = """
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW g AS (PARTITION BY sha256(coalesce(text, '')))
-"""
-
-
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentences.remove_repeated_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", "n_removed", "kept_text")
@@ -82,7 +75,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_item", "longest_at",
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
@@ -96,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op2_suffix_array": oracles.OP2, "op3_url_filter": OP3_SQL, "op6_exact_dedup": oracles.OP6, "op7_sentence_spans": oracles.OP7, "op9_decontaminate": oracles.OP9}
