@@ -71,7 +71,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 def drop_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns; of wholly equal (id, text) rows, one."""
-    kept = exact_dedup(docs, index, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    full = docs.withColumn("__digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    joined = full.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
-    return joined.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    # One exact key without nulls deals the rows out once, for the join and for the last step.
+    key = lambda digest, id_: F.concat_ws("|", digest, F.col(id_).cast("string"))
+    kept = exact_dedup(docs, index, id_col, text_col).where("kept").select(key("text_sha256", id_col).alias("__key"))
+    full = docs.withColumn("__key", key(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), id_col))
+    return full.join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
