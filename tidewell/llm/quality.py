@@ -22,6 +22,7 @@ WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
 MARKS = b"#$%&*|!<>{}[]_=~^"
+FEW, LEAST_Z = 16, 2.5
 STEPS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8)
 
 
@@ -73,18 +74,23 @@ def telling(rows: list[tuple[np.ndarray, int]], grades: int, bits: int, z: float
 def fit(rows: list[tuple[np.ndarray, int]], grades: int, bits: int, rounds: int = 200, decay: float = 1e-5, z: float = 5.0) -> OrdinalModel:
     """Adagrad over all rows at once, on the telling slots alone (others weigh 0); cuts stay in order as a first cut and positive gaps.
 
-    Without rows all weights are zero, and every document gets the same grade.
+    Where fewer than FEW slots tell the grades apart (some dozens of rows), z is lowered down to LEAST_Z, and grades weigh
+    by their rows: with little to go by, the common grade is likely. Without rows all weights are zero, and every document
+    gets the same grade.
     """
     w, base, gaps = np.zeros(1 << bits), -1.0, np.full(max(grades - 2, 0), 0.5)
     if rows:
-        told = telling(rows, grades, bits, z)
+        told, even = telling(rows, grades, bits, z), True
+        while told.sum() < FEW and z > LEAST_Z:
+            z, even = z - 0.5, False
+            told = telling(rows, grades, bits, z)
         told[0] = True  # so that no row is without a slot
         rows = [(np.append(x[told[x]], 0), g) for x, g in rows]
         slot = np.concatenate([x for x, _ in rows])
         start = np.cumsum([0, *(len(x) for x, _ in rows)])[:-1]
         size = np.array([len(x) for x, _ in rows])
         y = np.array([g for _, g in rows])
-        share = 1.0 / np.bincount(y, minlength=grades)[y].clip(1)  # each grade weighs the same
+        share = 1.0 / np.bincount(y, minlength=grades)[y].clip(1) if even else np.ones(len(y))  # each grade weighs the same
         share /= share.sum()
         sums, tops = np.full(1 << bits, 1e-12), np.full(grades - 1, 1e-12)
         for _ in range(rounds):
