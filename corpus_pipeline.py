@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe, decontaminate, exact_dedup, quality, queries, shared, simhash
+from tidewell.llm import bpe, decontaminate, exact_dedup, near, quality, queries, shared
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (op5's fingerprints and radius) the least doc_id stays."""
-    return simhash.drop_near_duplicates(docs, width=4, radius=4)
+    """Of each group of near copies (five-word shingles at a similarity of 0.8 or more) the least doc_id stays."""
+    return near.drop_near_duplicates(docs, width=5, similarity=0.8)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

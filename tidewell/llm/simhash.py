@@ -197,12 +197,3 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, shard_r
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of its least id (one of them, if rows repeat an id)."""
-    # One exact key without nulls deals the rows out once, for the join and for the last step.
-    key = F.coalesce(F.concat(F.lit("id "), F.col(id_col).cast("string")), F.lit("none"))
-    found = simhash_components(docs, width, radius, id_col=id_col, text_col=text_col)
-    kept = keep(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct(), "kept-ids")
-    return docs.withColumn("__key", key).join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
