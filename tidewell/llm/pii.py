@@ -2,6 +2,7 @@
 
 Native: regular expressions find entities, distinct ones are named once for the whole corpus (so mentions stay coreferent),
 candidates that collide with each other or with a real entity are drawn again, and each text is rebuilt from its parts.
+A name after an honorific makes its bare mentions in the same text entities too, whole or by the family name alone.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from .shared import keep
 
 #: Honorifics by gender (f, m, or unknown), as they stand before a name.
 HONORIFICS = {
-    "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mademoiselle", "Señora", "Señorita", "Sra", "Srta", "г-жа", "госпожа", "κυρία"],
-    "m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "господин", "г-н", "κύριος"],
-    "u": ["Prof", "Professor", "Doctor"],
+    "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mademoiselle", "Señora", "Señorita", "Sra", "Srta", "Dra", "Mlle", "г-жа", "госпожа", "κυρία"],
+    "m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Mister", "господин", "г-н", "κύριος"],
+    "u": ["Prof", "Professor", "Doctor", "Dr"],
 }
 #: Given names by script and gender; family names are composed of syllables.
 GIVEN = {
@@ -34,15 +35,21 @@ SYLLABLES = {
     "cyrillic": ["бар", "бел", "вор", "гал", "дар", "зор", "кал", "лар", "мир", "нел", "пол", "рин", "сел", "тар", "фол", "шар"],
     "greek": ["βαρ", "γελ", "δαλ", "ζαρ", "θελ", "καρ", "λαν", "μαρ", "νελ", "παρ", "ριν", "σελ", "ταρ", "φιλ", "χαρ", "ψαρ"],
 }
+HONORIFIC = "(?:" + "|".join(h for hs in HONORIFICS.values() for h in hs) + r")\.? "
+#: A word of a name may have inner capitals, hyphens and apostrophes (not those of a possessive), and particles before it.
+WORD = r"\p{Lu}(?:[\p{L}\p{M}]{1,60}+|(?=['’]\p{Lu}))(?:-\p{L}[\p{L}\p{M}]{0,60}+|['’]\p{Lu}[\p{L}\p{M}]{0,60}+){0,4}+"
+FAMILY = r"(?:(?:van|von|de|del|della|der|den|di|da|du|dos|la|le|bin|al|el) ){0,3}+" + WORD
+NAME = rf"(?:\p{{Lu}}\. ?){{0,3}}+{FAMILY}(?: (?:\p{{Lu}}\. ?){{0,3}}+{FAMILY})?"
+NORTH_AMERICAN = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
 #: How each type looks; types are told apart in this order.
 PATTERNS = {
     "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}+",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-]{8,512}+",
+    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-]{8,}+(?:[\x21-\x7e&&[^\"'<>,;(){}\[\]]]*[A-Za-z0-9_/+=-])?",
     "key": r"\bAKIA[A-Z0-9]{16}\b",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
-    "name": r"(?<![\p{L}\p{N}])(?:" + "|".join(h for hs in HONORIFICS.values() for h in hs) + r")\.? \p{Lu}\p{Ll}{1,30}+(?: \p{Lu}\p{Ll}{1,30}+)?",
+    "card": r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|6[0-9]{18}|4[0-9]{12}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|3(?:0[0-5]|[68][0-9])[0-9][ -]?[0-9]{6}[ -]?[0-9]{4})(?![0-9])",
+    "phone": rf"{NORTH_AMERICAN}|(?<![0-9+])\+(?=(?:[ .()-]{{0,2}}[0-9]){{8}})[1-9][0-9]{{0,2}}(?:[ .-]?\(?[0-9]{{1,5}}\)?){{2,5}}(?<=[0-9]{{2}})(?![0-9])|(?<![0-9.,/-])\(?0[1-9][0-9]{{1,3}}\)?[ /-][0-9]{{3,4}}[ -]?[0-9]{{3,4}}(?![0-9])",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){HONORIFIC}{NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -56,18 +63,32 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """What mentions of one entity have in common: case of an e-mail, punctuation of numbers, a name without honorific."""
+    """What mentions of one entity have in common: case of an e-mail, punctuation of numbers, a name without honorific.
+
+    North American phones are ten digits, others all their digits, after a plus if they have a country code.
+    """
     digits = F.regexp_replace(entity, "[^0-9]", "")
     return (
         F.when(kind == "email", F.lower(entity))
-        .when(kind == "phone", F.substring(digits, -10, 10))
+        .when((kind == "phone") & F.regexp(entity, F.lit(f"^(?:{NORTH_AMERICAN})$")), F.substring(digits, -10, 10))
+        .when((kind == "phone") & entity.startswith("+"), F.concat(F.lit("+"), digits))
+        .when(kind == "phone", digits)
         .when(kind == "card", digits)
-        .when(kind == "secret", F.regexp_extract(entity, "([A-Za-z0-9_/+-]+)$", 1))
-        .when(kind == "name", F.regexp_extract(entity, r"^[^ ]+ (.*)$", 1))
+        .when(kind == "secret", F.regexp_extract(entity, r"^[^=:]*[=:]\s*[\"']?(.*)$", 1))
+        .when(kind == "name", bare(entity))
         .otherwise(entity)
     )
 
 
+def bare(entity: Column) -> Column:
+    """A name without its honorific."""
+    return F.regexp_extract(entity, f"^(?:{HONORIFIC})?(.*)$", 1)
+
+
+def family_of(name: Column) -> Column:
+    return F.regexp_extract(name, f"({FAMILY})$", 1)
+
+
 def stream(key: str, *parts: Column) -> Column:
     """256 keyed hexadecimal digits for an entity and attempt."""
     return F.concat(*[F.sha2(F.concat_ws("\n", F.lit(key), *[p.cast("string") for p in parts], F.lit(str(i))), 256) for i in range(4)])
@@ -95,8 +116,8 @@ def like(text: Column, bits: Column, digits: str = DIGITS, keep_marks: Column |
 
 
 def luhn(body: Column) -> Column:
-    """The check digit of 15 digits."""
-    each = F.transform(F.split(body, ""), lambda c, i: F.when(i % 2 == 0, c.try_cast("int") * 2).otherwise(c.try_cast("int")))
+    """The check digit of some digits."""
+    each = F.transform(F.split(body, ""), lambda c, i: F.when((F.length(body) - 1 - i) % 2 == 0, c.try_cast("int") * 2).otherwise(c.try_cast("int")))
     total = F.aggregate(F.transform(each, lambda x: F.when(x > 9, x - 9).otherwise(x)), F.lit(0), lambda a, x: a + x)
     return F.pmod(10 - total % 10, F.lit(10)).cast("string")
 
@@ -114,11 +135,14 @@ def propose(kind: Column, name: Column, gender: Column, attempt: Column, key: st
     # The domain's name goes by the domain alone, so that colleagues stay colleagues; its last label stays.
     email = F.concat(like(F.substr(name, F.lit(1), at - 1), bits), F.lit("@"), like(F.regexp_extract(domain, r"^(.*)\.", 1), host), F.lit("."), F.regexp_extract(domain, r"([^.]*)$", 1))
     number = like(name, bits)
-    valid = luhn(F.substring(name, 1, 15)) == F.substring(name, 16, 1)
-    card = F.concat(F.substring(name, 1, 1), F.substring(number, 2, 14))
-    card = F.concat(card, F.when(valid, luhn(card)).otherwise(F.substring(number, 16, 1)))
+    size = F.length(name)
+    valid = luhn(F.substr(name, F.lit(1), size - 1)) == F.substring(name, -1, 1)
+    first = F.when(size == 16, 1).otherwise(2)  # other lengths go by two digits
+    card = F.concat(F.substr(name, F.lit(1), first), F.substr(number, first + 1, size - 1 - first))
+    card = F.concat(card, F.when(valid, luhn(card)).otherwise(F.substring(number, -1, 1)))
     area = lambda i: (draw(bits, F.lit(i), 800) + 200).cast("string")
-    phone = F.concat(area(0), area(1), F.substring(number, 7, 4))
+    begin = F.when(name.startswith("+"), 4).otherwise(2)  # a country code, or a trunk zero and a digit, stays
+    phone = F.when(F.regexp(name, F.lit("^[+0]")), F.concat(F.substr(name, F.lit(1), begin), F.substr(number, begin + 1, size))).otherwise(F.concat(area(0), area(1), F.substring(number, 7, 4)))
     person = F.lit(None).cast("string")
     for script, parts in SYLLABLES.items():
         family = F.initcap(F.concat(*[pick(parts, bits, i) for i in range(4)]))
@@ -133,7 +157,10 @@ def propose(kind: Column, name: Column, gender: Column, attempt: Column, key: st
 
 
 def pour(entity: Column, kind: Column, name: Column, surrogate: Column) -> Column:
-    """The surrogate in the mention's format: its punctuation, country code, prefix, honorific or case."""
+    """The surrogate in the mention's format: its punctuation, country code, prefix, honorific or case; of a person, the family name alone where the mention has no more."""
+    person = F.when((bare(entity) == family_of(bare(entity))) & (bare(entity) != name), F.element_at(F.split(surrogate, " "), -1)).otherwise(surrogate)
+    person = F.concat(F.substr(entity, F.lit(1), F.length(entity) - F.length(bare(entity))), person)
+    surrogate = F.when(kind == "name", person).when(kind == "phone", F.regexp_replace(surrogate, "[^0-9]", "")).otherwise(surrogate)
     surplus = F.length(F.regexp_replace(entity, "[^0-9]", "")) - F.length(surrogate)
 
     def digit(c: Column, i: Column) -> Column:
@@ -143,7 +170,7 @@ def pour(entity: Column, kind: Column, name: Column, surrogate: Column) -> Colum
     digits = F.array_join(F.transform(F.split(entity, ""), digit), "")
     cased = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(F.contains(F.lit(UPPER), c), F.upper(F.substr(surrogate, i + 1, F.lit(1)))).otherwise(F.substr(surrogate, i + 1, F.lit(1)))), "")
     head = F.substr(entity, F.lit(1), F.length(entity) - F.length(name))
-    return F.when(kind.isin("card", "phone"), digits).when((kind == "email") & (F.length(entity) == F.length(surrogate)), cased).when(kind.isin("secret", "name"), F.concat(head, surrogate)).otherwise(surrogate)
+    return F.when(kind.isin("card", "phone"), digits).when((kind == "email") & (F.length(entity) == F.length(surrogate)), cased).when(kind == "secret", F.concat(head, surrogate)).otherwise(surrogate)
 
 
 def gender_of(entity: Column) -> Column:
@@ -187,17 +214,34 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     any_ = F.lit(f"({ANY})")
     # Texts without entities, nearly all, are only searched, here and at the end; the others are kept and joined.
     marked = rows.withColumn("own", F.regexp_extract_all("text", any_, 1)).where(F.size("own") > 0)
+    # Each text's names, in order, and the pattern that finds their bare mentions too.
+    titled = F.filter("own", lambda m: F.regexp(m, F.lit(f"^(?:{PATTERNS['name']})$")))
+    people = F.transform(titled, lambda m: F.struct(bare(m).alias("name"), family_of(bare(m)).alias("family"), gender_of(m).alias("gender")))
+    marked = marked.withColumn("people", F.array_distinct(people))
+    longest = lambda x, y: F.length(y) - F.length(x)
+    spelled = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("people", lambda x: F.array(x["name"], x["family"])))), longest), "|")
+    wide = F.concat(F.lit(f"{ANY}|(?<![\\p{{L}}\\p{{N}}])(?:"), F.replace(spelled, F.lit("."), F.lit("\\.")), F.lit(r")(?![\p{L}\p{N}])"))
+    marked = marked.withColumn("pattern", F.when(F.size("people") > 0, wide))
+    wider = F.regexp_extract_all("text", F.concat(F.lit("("), F.col("pattern"), F.lit(")")), F.lit(1))
+    marked = marked.withColumn("own", F.when(F.col("pattern").isNotNull(), wider).otherwise(F.col("own")))
     marked = keep(marked.withColumns({"content": F.xxhash64("text"), "size": F.length("text")}), "marked-texts")
-    each = marked.select("content", "size", F.array_distinct("own").alias("own")).distinct().select("content", "size", F.explode("own").alias("entity"))
-    distinct = each.select("entity").distinct().withColumn("kind", kind_of(F.col("entity"))).where("kind is not null")
-    known = keep(distinct.withColumns({"name": canonical(F.col("kind"), F.col("entity")), "gender": F.when(F.col("kind") == "name", gender_of(F.col("entity"))).otherwise("u")}), "known-entities")
+    each = marked.select("content", "size", "people", F.array_distinct("own").alias("own")).distinct().select("content", "size", "people", F.explode("own").alias("entity"))
+    kind = F.coalesce(kind_of(F.col("entity")), F.when(F.regexp("entity", F.lit(f"^(?:{NAME})$")), "name"))
+    each = each.withColumn("kind", kind).where("kind is not null")
+    each = each.withColumns({"name": canonical(F.col("kind"), F.col("entity")), "gender": F.when(F.col("kind") == "name", gender_of(F.col("entity"))).otherwise("u")})
+    # A family name alone is the text's first person of that family whose gender agrees.
+    same_family = lambda x: (x["family"] == F.col("name")) & (x["name"] != F.col("name")) & ((x["gender"] == F.col("gender")) | (x["gender"] == "u") | (F.col("gender") == "u"))
+    person = F.coalesce(F.get(F.filter("people", same_family), F.lit(0))["name"], F.col("name"))
+    each = keep(each.withColumn("name", F.when(F.col("kind") == "name", person).otherwise(F.col("name"))).drop("people"), "mentions")
+    known = keep(each.groupBy("entity", "kind", "name").agg(F.min("gender").alias("gender")), "known-entities")
     drawn = surrogates(known, key)
-    poured = known.join(drawn.select("kind", "name", "surrogate"), ["kind", "name"]).select("entity", "kind", pour(F.col("entity"), F.col("kind"), F.col("name"), F.col("surrogate")).alias("new"))
+    poured = known.join(drawn.select("kind", "name", "surrogate"), ["kind", "name"]).select("entity", "kind", "name", pour(F.col("entity"), F.col("kind"), F.col("name"), F.col("surrogate")).alias("new"))
     poured = keep(poured, "poured")
-    maps = each.join(poured, "entity").groupBy("content", "size").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("new", "kind")))).alias("changes"))
+    maps = each.select("content", "size", "entity", "name").join(poured, ["entity", "name"]).groupBy("content", "size").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("new", "kind")))).alias("changes"))
     maps = keep(maps, "changes")
     swapped = F.transform("own", lambda m: F.coalesce(F.try_element_at("changes", m)["new"], m))
-    rebuilt = F.array_join(F.transform(F.split("text", ANY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(swapped, i), F.lit("")))), "")
+    pieces = F.when(F.col("pattern").isNull(), F.split("text", ANY, -1)).otherwise(F.split("text", F.col("pattern"), F.lit(-1)))
+    rebuilt = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(swapped, i), F.lit("")))), "")
     kinds = F.array_sort(F.array_distinct(F.transform(F.map_values("changes"), lambda x: x["kind"])))
     changed = marked.join(maps.hint("merge"), ["content", "size"], "left").select("id", rebuilt.alias("text"), F.size("own").cast("long").alias("n_entities"), F.coalesce(F.array_join(kinds, ","), F.lit("")).alias("kinds"))
     same = rows.where(~F.coalesce(F.regexp("text", any_), F.lit(False))).select("id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
