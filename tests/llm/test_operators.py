@@ -234,48 +234,6 @@ def test_quality(spark):
     assert quality.rate(frame(spark, [(1, None), (2, "")]), empty).count() == 2
 
 
-def test_context_mixing(spark):
-    docs = texts(10, 80)
-    train = [d for d, _ in docs if zlib.crc32(str(d).encode()) % 7 != 2]
-    tokens = {d: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")), None] for d, t in docs}
-    c = Counter(w for d in train for w in tokens[d])
-    n, v = sum(c.values()), len(c)
-    for frequent in (5, 200_000):
-        got = {row["doc_id"]: row for row in lm.score_texts(frame(spark, docs), frequent=frequent, bits=14, slice_bytes=4000).collect()}
-        for d, own in tokens.items():
-            assert (got[d]["held_out"], got[d]["n_tokens"], got[d]["n_known"], got[d]["train_tokens"]) == (d not in train, len(own), sum(w in c for w in own), n)
-            assert got[d]["base_score"] == pytest.approx(sum(log10((c[w] + 1) / (n + v + 1)) for w in own))
-            assert got[d]["score"] < 0
-    held = [row for row in got.values() if row["held_out"] and row["n_tokens"] > 20]
-    assert sum(row["score"] for row in held) > sum(row["base_score"] for row in held) * 1.5
-
-
-def test_mixture_is_a_distribution():
-    import numpy as np
-    import pyarrow as pa
-
-    from tidewell.llm.batches import raw
-
-    code = lm.prefix_code(np.ones(256))
-    logits = np.random.default_rng(0).integers(-40, 40, (lm.PREDICTORS, lm.table_size(14))).astype(np.int8)
-    one = [lm.score_slice(lm.Slice(*raw(pa.array([chr(b)])), 14), code, logits, 0.05)[0] for b in range(128)]
-    assert 0 < sum(np.exp(-np.array(one))) <= 1
-
-
-def test_scores_dont_depend_on_neighbours():
-    import numpy as np
-    import pyarrow as pa
-
-    from tidewell.llm.batches import raw
-
-    code = lm.prefix_code(np.arange(1.0, 257.0))
-    logits = np.random.default_rng(1).integers(-60, 60, (lm.PREDICTORS, lm.table_size(14))).astype(np.int8)
-    texts_ = ["", "a b c", "word " * 300, "", "é" * 700]
-    together = lm.score_slice(lm.Slice(*raw(pa.array(texts_)), 14), code, logits, 0.05)
-    alone = [lm.score_slice(lm.Slice(*raw(pa.array([t])), 14), code, logits, 0.05)[0] for t in texts_]
-    assert together == pytest.approx(alone, rel=1e-5)
-
-
 def test_urls(spark):
     pages = [(1, "http://A.B.Example.NET/en/x?y#z"), (2, "https://example.net/fr/"), (3, None), (4, "no scheme"), (5, "x://net"), (6, "x://example.com/de/1#a"), (7, "x://org/fr/"), (8, "x://badexample.com/de/"), (9, "x://example.com?/de/"), (9, "x://example.com?/de/")]
     rules = spark.createDataFrame([*queries.RULES, ("net", "/", "block"), (None, "/", "block")], "host string, path string, verdict string")
@@ -336,7 +294,7 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     results = [
         exact_dedup.exact_dedup(none, exact_dedup.DigestIndex(spark)), simhash.simhash_components(none), decontaminate.contamination(none, bench), bpe.bpe_encode(none, f"{queries.TOKENIZERS}/word_bpe_49k.json"),
-        substrings.remove_repeats(none), sentences.remove_repeated_spans(none), lm.score_texts(none, bits=14), pii.replace_entities(none, "k"),
+        substrings.remove_repeats(none), sentences.remove_repeated_spans(none), lm.score_texts(none), pii.replace_entities(none, "k"),
     ]
     assert [r.count() for r in results] == [0] * len(results)
 
@@ -347,4 +305,4 @@ def test_null_ids(spark):
     assert simhash.simhash_components(docs).count() == 3
     assert {r["doc_id"]: r["n_removed"] for r in sentences.remove_repeated_spans(docs.where("text is not null")).collect()} == {3: 0, None: 2}
     assert substrings.remove_repeats(docs, 10, 4).count() == 3
-    assert lm.score_texts(docs, bits=14).count() == 3
+    assert lm.score_texts(docs).count() == 3
