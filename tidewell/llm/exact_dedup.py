@@ -11,14 +11,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import keep, shared_dir
+from .shared import join_heavy, keep, shared_dir
 
 
 class DigestIndex:
     """Table (digest, keep_id) holding each text that was ever kept.
 
-    name: catalog table. path: its folder (default: in the shared folder). buckets: default is the session's number of
-    shuffle partitions, so that each bucket is written by one task; a later session must pass the same number.
+    name: catalog table; path: its folder (default: in the shared folder). An index that exists under that name, or in that
+    folder, is opened; else an empty one is made. Without a name it is of use to its maker alone. buckets: of a new index;
+    default is the session's number of shuffle partitions, so that each bucket is written by one task. A folder that an
+    earlier session wrote must be opened with the buckets it was made with.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
@@ -26,21 +28,32 @@ class DigestIndex:
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or f"{shared_dir(spark)}/{self.name}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if spark.catalog.tableExists(self.name):
+            told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED `{self.name}`").collect()}
+            self.buckets, self.path = int(told["Num Buckets"]), told["Location"]
 
-    def rows(self) -> DataFrame | None:
-        return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
+    def rows(self, kind: str = "bigint") -> DataFrame:
+        """kind: of keep_id, in a new index."""
+        if not self.spark.catalog.tableExists(self.name):
+            self.spark.sql(f"CREATE TABLE `{self.name}` (digest STRING, keep_id {kind}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        return self.spark.table(self.name)
 
     def append(self, groups: DataFrame) -> None:
         """groups: digest, keep_id; digests that the index has already are left out by a sort-merge anti-join."""
-        known = self.rows()
-        if known is not None:
-            groups = groups.join(known.hint("merge"), "digest", "left_anti")
+        known = self.rows(dict(groups.dtypes)["keep_id"])
+        self.write(groups.select("digest", "keep_id").join(known.hint("merge"), "digest", "left_anti"), "append")
+
+    def write(self, rows: DataFrame, mode: str) -> None:
         (
-            groups.select("digest", "keep_id").repartition(self.buckets, "digest")
+            rows.repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", self.path).mode("append").format("parquet").saveAsTable(self.name)
+            .option("path", self.path).mode(mode).format("parquet").saveAsTable(self.name)
         )
 
+    def compact(self) -> None:
+        """One sorted file a bucket again, after many appends."""
+        self.write(keep(self.rows(), "index-copy"), "overwrite")
+
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256. The batch is appended to the index.
@@ -56,11 +69,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
         .groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")),
         "digests",
     )
-    groups = keep(rows.groupBy("digest").agg(F.max("id").alias("newest"), F.sum("n").alias("group_size")), "digest-groups")
-    index.append(groups.withColumnRenamed("newest", "keep_id"))
-    found = groups.join(index.rows().hint("merge"), "digest").select("digest", "keep_id", "group_size")
+    groups = keep(rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("rows")), "digest-groups")
+    index.append(groups)
+    found = keep(groups.drop("keep_id").join(index.rows().hint("merge"), "digest"), "indexed-groups")
     return (
-        rows.join(found, "digest")
+        join_heavy(rows, found, "digest", "rows")
         .select("id", "keep_id", "group_size", "digest", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
         .select(
             F.col("id").alias(id_col), "keep_id", "group_size",
@@ -70,9 +83,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def drop_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; of wholly equal (id, text) rows, one."""
+    """The rows of docs that exact_dedup keeps, with all their columns under any name; of wholly equal (id, text) rows, one."""
     # One exact key without nulls deals the rows out once, for the join and for the last step.
     key = lambda digest, id_: F.concat_ws("|", digest, F.col(id_).cast("string"))
-    kept = exact_dedup(docs, index, id_col, text_col).where("kept").select(key("text_sha256", id_col).alias("__key"))
-    full = docs.withColumn("__key", key(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), id_col))
-    return full.join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    kept = exact_dedup(docs, index, id_col, text_col).where("kept").select(key("text_sha256", id_col).alias("key"))
+    full = docs.select(key(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), id_col).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return full.join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")

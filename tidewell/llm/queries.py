@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,13 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, exact_dedup, lm, oracles, pii, quality, sentences, simhash, substrings, urls
 
-TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_path() -> str:
+    """Where the installed public tokenizers have op4's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +52,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM url
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests_of_tokens(bpe.bpe_encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
+    return digests_of_tokens(bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def digests_of_tokens(encoded: DataFrame) -> DataFrame:
@@ -58,7 +65,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
+    # One index for each table, under the same name in a later run, which finds its texts there under their own ids.
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), index)
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is set only where the session names none (tests)."""
+    """The folder named in spark.checkpoint.dir; a local one is set only where a local session names none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{tempfile.gettempdir()}/tidewell-shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidewell-{spark.sparkContext.applicationId}"
@@ -31,6 +34,22 @@ def keep(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_heavy(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """Inner join with right, which has one row a key and in `rows` how many left rows that meets (null keys meet none).
+
+    A key with more than its share of all rows gets several copies of its right row, and its left rows are dealt to them by
+    their contents, so that no task gets them all. Such keys number at most four for each shuffle partition, which is what
+    is broadcast. right must be a kept table, as it is read three times.
+    """
+    share = max(1, int(right.agg(F.sum(rows)).first()[0] or 0) // (4 * int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    copies = F.ceil(F.col(rows) / share).cast("int")
+    heavy = right.where(F.col(rows) > share).select(key, copies.alias("__copies"))
+    dealt = left.withColumn("__own", F.xxhash64(*left.columns)).join(F.broadcast(heavy), key, "left")
+    dealt = dealt.withColumn("__salt", F.coalesce(F.pmod("__own", F.col("__copies")), F.lit(0)).cast("int")).drop("__own", "__copies")
+    spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1))).drop(rows)
+    return dealt.join(spread.hint("merge"), [key, "__salt"]).drop("__salt")
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table of this application. Call it once results have been written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
