@@ -117,7 +117,8 @@ def test_bk_tree():
     tree = simhash.BKTree()
     for v in values:
         tree.add(v)
-    assert sorted(tree.take(77, 3)) == sorted(v for v in values if (v ^ 77).bit_count() <= 3)
+    want = sorted(v for v in values if (v ^ 77).bit_count() <= 3)
+    assert sorted(values[i] for i in tree.near(77, 3)) == sorted(values[i] for i in tree.take(77, 3)) == want
     assert tree.take(77, 3) == []
 
 
@@ -155,7 +156,7 @@ def test_longest_match(spark):
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
-    path, r = f"{queries.TOKENIZERS}/word_bpe_49k.json", random.Random(6)
+    path, r = queries.tokenizer_path(), random.Random(6)
     known = Tokenizer.from_file(path)
     docs = texts(6, 60)
     for i, letters in enumerate(["ab", "aeinrst", "ΣσςÀéßİıǅ世界 \x1c\x85", "'sdtrevml' ", "0123²½", "<|endoftext|>a", "the and ing "]):
@@ -293,7 +294,7 @@ def test_empty_tables(spark):
     none = frame(spark, [(1, "x")]).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
     results = [
-        exact_dedup.exact_dedup(none, exact_dedup.DigestIndex(spark)), simhash.simhash_components(none), decontaminate.contamination(none, bench), bpe.bpe_encode(none, f"{queries.TOKENIZERS}/word_bpe_49k.json"),
+        exact_dedup.exact_dedup(none, exact_dedup.DigestIndex(spark)), simhash.simhash_components(none), decontaminate.contamination(none, bench), bpe.bpe_encode(none, queries.tokenizer_path()),
         substrings.remove_repeats(none), sentences.remove_repeated_spans(none), lm.score_texts(none), pii.replace_entities(none, "k"),
     ]
     assert [r.count() for r in results] == [0] * len(results)

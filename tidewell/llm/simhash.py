@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .batches import texts
 from .graph import connected_components
-from .shared import keep
+from .shared import join_heavy, keep
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -73,47 +73,70 @@ class BKTree:
                 return
             at = down
 
-    def take(self, value: int, radius: int) -> list[int]:
-        """Values within the radius that no earlier call has returned."""
+    def near(self, value: int, radius: int) -> list[int]:
+        """Numbers of the values within the radius."""
         found, stack = [], [0] if self.values else []
         while stack:
             at = stack.pop()
             d = (self.values[at] ^ value).bit_count()
-            if d <= radius and self.open[at]:
-                self.open[at] = False
-                found.append(self.values[at])
+            if d <= radius:
+                found.append(at)
             stack += [child for edge, child in self.children[at].items() if d - radius <= edge <= d + radius]
         return found
 
+    def take(self, value: int, radius: int) -> list[int]:
+        """Numbers of the values within the radius that no earlier call has returned."""
+        found = [at for at in self.near(value, radius) if self.open[at]]
+        for at in found:
+            self.open[at] = False
+        return found
+
+
+def grown(values: list[int]) -> BKTree:
+    tree = BKTree()
+    for v in values:
+        tree.add(v)
+    return tree
+
 
 def spanning_links(tree_values: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
     """Links that join just what all links between the two lists (and inside tree_values, if they are the same) join.
 
-    Each tree value is returned once: a search from it continues its component, so links number at most the values.
-    With two lists, a query's own component is found by searching both trees in turn.
+    Links are pairs of numbers, those of queries after those of tree_values (or the same). Each value is returned once: a
+    search from it continues its component, so links number at most the values. With two lists, a query's own component is
+    found by searching both trees in turn.
     """
-    trees = [BKTree()] if queries is tree_values else [BKTree(), BKTree()]
-    for tree, values in zip(trees, (tree_values, queries), strict=False):
-        for v in values:
-            tree.add(v)
+    values = [tree_values] if queries is tree_values else [tree_values, queries]
+    trees = [grown(v) for v in values]
+    shift = [0, len(tree_values) if len(values) > 1 else 0]
     links = []
-    for start in queries:
-        if not trees[-1].take(start, 0):
+    for start, value in enumerate(queries):
+        if not trees[-1].open[start]:
             continue
-        frontier = [(start, 0)]
+        trees[-1].open[start] = False
+        frontier = [(len(trees) - 1, start, value)]
         while frontier:
-            v, side = frontier.pop()
+            side, i, v = frontier.pop()
             other = side if len(trees) == 1 else 1 - side
-            for x in trees[0 if side == 0 else -1].take(v, radius):
-                links.append((v, x))
-                frontier.append((x, other))
+            for j in trees[other].take(v, radius):
+                links.append((i + shift[side], j + shift[other]))
+                frontier.append((other, j, values[other][j]))
     return links
 
 
+def all_links(tree_values: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
+    """All links between the two lists (or inside tree_values, if they are the same), numbered as spanning_links does."""
+    tree = grown(tree_values)
+    if queries is tree_values:
+        return [(i, j) for i, v in enumerate(queries) for j in tree.near(v, radius) if i < j]
+    return [(i + len(tree_values), j) for i, v in enumerate(queries) for j in tree.near(v, radius)]
+
+
 def shard_masks(n: int, radius: int) -> list[int]:
-    """Masks of the choices of blocks; so many blocks that shards have a few rows each if bits are even.
+    """Masks of the choices of blocks that two fingerprints within the radius may agree on.
 
-    Two blocks at least, so that rows to place grow in step with the fingerprints up to some hundred million of them.
+    A shard should have a few of n rows where bits are even, so more blocks must agree the more rows there are, and a row
+    is placed comb(agree + radius, agree) times: 15 times for two blocks of 6, 35 for three of 7, 70 for four of 8.
     """
     for agree in range(2, 64 - radius):
         blocks = agree + radius
@@ -128,58 +151,67 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = 4, shard_rows: int = 2048) -> DataFrame:
-    """(a, b) longs: links between distinct fingerprints that join just what all pairs within the radius join."""
-    masks = shard_masks(distinct.count(), radius)
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
-    members = distinct.select("fp", F.explode(keys).alias("shard"))
+def search_shards(members: DataFrame, radius: int, shard_rows: int, spanning: bool = True) -> DataFrame:
+    """members: shard long, node long, fp binary, group long. (shard, a, b): links of nodes that meet in a shard within the radius.
+
+    Each shard builds a BK-tree and searches it for its own rows. One over shard_rows is cut into several trees, and each is
+    searched for each part of the shard's rows, in tasks of their own. spanning: only so many links as join what all of
+    them join; else all those between different groups.
+    """
     large = members.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
     # A shard of one tree has parts = 1; of more, each part meets each: pair (i, j), i <= j, has the tree of i and the rows of j.
     placed = members.join(keep(large, "large-shards"), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     placed = placed.withColumn("mine", mine).select(
-        "shard", "fp", "mine", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))).alias("pair")
+        "shard", "node", "fp", "group", "mine", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))).alias("pair")
     )
-    dealt = placed.select("shard", (F.col("pair.i") * 1_000_000 + F.col("pair.j")).cast("long").alias("pair"), (F.col("mine") == F.col("pair.i")).alias("tree"), "fp")
+    dealt = placed.select("shard", (F.col("pair.i") * 1_000_000 + F.col("pair.j")).cast("long").alias("pair"), (F.col("mine") == F.col("pair.i")).alias("tree"), "node", "fp", "group")
     dealt = dealt.repartition("shard", "pair").sortWithinPartitions("shard", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree, rows, out = None, [], [], []
+        at, held, out = None, [], []
 
         def search() -> None:
+            """held: (in the tree, node, fp, group) of one pair of parts of a shard."""
+            if len(held) < 2:
+                return
+            tree = [x for x in held if x[0]]
+            rest = [x for x in held if not x[0]]
+            values, others = ([int.from_bytes(x[2], "little") for x in own] for own in (tree, rest))
             same = at[1] % 1_000_001 == 0  # i == j
-            if len(tree) + len(rows) > 1:
-                out.extend(spanning_links(tree, tree if same else rows, radius))
+            both = [*tree, *rest]
+            for i, j in (spanning_links if spanning else all_links)(values, values if same else others, radius):
+                if spanning or both[i][3] != both[j][3]:
+                    out.append((at[0], both[i][1], both[j][1]))
 
         def emit() -> pa.RecordBatch:
-            ends = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+            ends = np.array(out, np.int64).reshape(-1, 3)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, c].copy()) for c in range(3)], names=["shard", "a", "b"])
 
         for batch in batches:
-            shard, pair, first, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            fp = fp.view(np.uint64)
-            cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (pair[1:] != pair[:-1])) + 1
-            for a, b in itertools.pairwise([0, *cuts.tolist(), len(shard)]):
-                if a == b:
-                    continue
-                key = (int(shard[a]), int(pair[a]))
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for key, row in zip(keys, zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True), strict=True):
                 if key != at:
                     if at is not None:
                         search()
-                    at, tree, rows = key, [], []
-                if b - a == 1:
-                    (tree if first[a] else rows).append(int(fp[a]))
-                else:
-                    tree += fp[a:b][first[a:b]].tolist()
-                    rows += fp[a:b][~first[a:b]].tolist()
+                    at, held = key, []
+                held.append(row)
             if len(out) > 100_000:
                 yield emit()
         if at is not None:
             search()
         yield emit()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "shard long, a long, b long")
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = 4, shard_rows: int = 2048) -> DataFrame:
+    """(a, b) longs: links between distinct fingerprints that join just what all pairs within the radius join."""
+    masks = shard_masks(distinct.count(), radius)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
+    members = distinct.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.lit(0).cast("long").alias("group"), F.explode(keys).alias("shard"))
+    return search_shards(members, radius, shard_rows).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, shard_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,10 +222,10 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, shard_r
     null. Repeated rows come back repeated. Other columns aren't read. An empty table gives no rows.
     """
     rows = keep(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    nodes = keep(rows.groupBy("fp").agg(F.min(id_col).alias("least_id")), "fingerprint-nodes")
+    nodes = keep(rows.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count(F.lit(1)).alias("rows")), "fingerprint-nodes")
     roots = connected_components(link_fingerprints(nodes.select("fp"), radius, shard_rows))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = keep(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    least = keep(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("fps")), "components-named")
+    named = keep(join_heavy(rooted.select("root", "fp", "rows"), least, "root", "fps").select("fp", "component_id", "rows"), "named")
+    return join_heavy(rows, named, "fp", "rows").select(id_col, "fp", "component_id")
