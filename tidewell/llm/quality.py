@@ -22,7 +22,7 @@ WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
 MARKS = b"#$%&*|!<>{}[]_=~^"
-FEW, LEAST_Z = 16, 2.5
+HALF, LEAST = 5.0, 2.0  # standard deviations at which a slot counts a quarter, and under which it isn't looked at
 STEPS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8)
 
 
@@ -59,52 +59,48 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -40, 40)))
 
 
-def telling(rows: list[tuple[np.ndarray, int]], grades: int, bits: int, z: float) -> np.ndarray:
-    """Slots whose count in some grade lies over z standard deviations off what its share of all rows gives."""
+def telling(rows: list[tuple[np.ndarray, int]], grades: int, bits: int) -> np.ndarray:
+    """Of each slot, how many standard deviations its count in some grade lies off what that grade's share of all rows gives."""
     slot = np.concatenate([x for x, _ in rows])
-    y = np.repeat([g for _, g in rows], [len(x) for x, _ in rows])
-    n = np.bincount(slot, minlength=1 << bits)
+    of_grade = [np.bincount(np.concatenate([x for x, g in rows if g == grade] or [slot[:0]]), minlength=1 << bits) for grade in range(grades)]
+    n = sum(of_grade)
     most = np.zeros(1 << bits)
-    for g, share in enumerate(np.bincount([g for _, g in rows], minlength=grades) / len(rows)):
-        off = np.bincount(slot[y == g], minlength=1 << bits) - n * share
-        most = np.maximum(most, np.abs(off) / np.sqrt(n * share * (1 - share) + 1))
-    return most >= z
+    for own, share in zip(of_grade, np.bincount([g for _, g in rows], minlength=grades) / len(rows), strict=True):
+        most = np.maximum(most, np.abs(own - n * share) / np.sqrt(n * share * (1 - share) + 1))
+    return most
 
 
-def fit(rows: list[tuple[np.ndarray, int]], grades: int, bits: int, rounds: int = 200, decay: float = 1e-5, z: float = 5.0) -> OrdinalModel:
-    """Adagrad over all rows at once, on the telling slots alone (others weigh 0); cuts stay in order as a first cut and positive gaps.
+def fit(rows: list[tuple[np.ndarray, int]], grades: int, bits: int, rounds: int = 200, decay: float = 1e-5) -> OrdinalModel:
+    """Adagrad over all rows at once; cuts stay in order as a first cut and positive gaps. Each grade weighs the same.
 
-    Where fewer than FEW slots tell the grades apart (some dozens of rows), z is lowered down to LEAST_Z, and grades weigh
-    by their rows: with little to go by, the common grade is likely. Without rows all weights are zero, and every document
-    gets the same grade.
+    A slot z standard deviations off chance counts (z^2 / (z^2 + HALF^2))^2, so that what few rows say moves a score little;
+    the model's weights have that in them. Without rows all weights are zero, and every document gets the same grade.
     """
-    w, base, gaps = np.zeros(1 << bits), -1.0, np.full(max(grades - 2, 0), 0.5)
+    w, base, gaps, value = np.zeros(1 << bits), -1.0, np.full(max(grades - 2, 0), 0.5), np.zeros(1 << bits)
     if rows:
-        told, even = telling(rows, grades, bits, z), True
-        while told.sum() < FEW and z > LEAST_Z:
-            z, even = z - 0.5, False
-            told = telling(rows, grades, bits, z)
+        z = telling(rows, grades, bits)
+        value = np.where(z >= LEAST, (z * z / (z * z + HALF * HALF)) ** 2, 0.0)
+        told = value > 0
         told[0] = True  # so that no row is without a slot
+        value[0] = 0.0
+        y = np.array([g for _, g in rows])
         rows = [(np.append(x[told[x]], 0), g) for x, g in rows]
-        slot = np.concatenate([x for x, _ in rows])
-        start = np.cumsum([0, *(len(x) for x, _ in rows)])[:-1]
         size = np.array([len(x) for x, _ in rows])
-        y = np.array([g for _, g in rows])
-        share = 1.0 / np.bincount(y, minlength=grades)[y].clip(1) if even else np.ones(len(y))  # each grade weighs the same
+        slot = np.concatenate([x for x, _ in rows])
+        start = np.cumsum(size) - size
+        share = 1.0 / np.bincount(y, minlength=grades)[y]
         share /= share.sum()
         sums, tops = np.full(1 << bits, 1e-12), np.full(grades - 1, 1e-12)
         for _ in range(rounds):
-            score = np.add.reduceat(w[slot], start)
+            score = np.add.reduceat((w * value)[slot], start)
             cuts = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
             above = 1 / (1 + np.exp(np.clip(np.concatenate([[-40.0], cuts, [40.0]])[None, :] - score[:, None], -40, 40)))  # P(grade >= k)
             at, up = above[np.arange(len(y)), y], above[np.arange(len(y)), y + 1]
             # The likelihood of grade k is at - up; its derivative by the score is 1 - at - up.
             by_score = share * (1 - at - up)
-            slope = by_score.repeat(size)
-            g = np.bincount(slot, slope, 1 << bits) - decay * w
+            g = np.bincount(slot, by_score.repeat(size), 1 << bits) * value - decay * w
             sums += g * g
             w += 0.3 * g / np.sqrt(sums)
-            w[0] = 0.0
             by_cut = np.zeros(grades - 1)
             likely = np.maximum(at - up, 1e-9)
             for k in range(grades - 1):
@@ -114,7 +110,7 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int, bits: int, rounds: int
             move = 0.1 * step / np.sqrt(tops)
             base += move[0]
             gaps = gaps + move[1:]
-    return OrdinalModel(bits, w.astype(np.float32), base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
+    return OrdinalModel(bits, (w * value).astype(np.float32), base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
 
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 20_000, bits: int = 18, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> OrdinalModel:
@@ -126,39 +122,47 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 20
     rated = ratings.where(F.col(grade_col).between(0, grades - 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(grade_col).cast("int").alias("__grade"))
     n = rated.count()
     if n > sample:
-        rated = rated.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+        rated = rated.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 50)) < int(sample / n * (1 << 50)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(t, bits).tobytes() for t in texts(batch.column(0))], pa.binary())], names=["grade", "slots"])
 
     joined = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(rated), id_col).select("__text", "__grade")
-    got = joined.mapInArrow(run, "grade int, slots binary").collect()
-    rows = sorted((bytes(r["slots"]), r["grade"]) for r in got)
+    rows = sorted((bytes(r["slots"]), r["grade"]) for r in joined.mapInArrow(run, "grade int, slots binary").collect())
     return fit([(np.frombuffer(s, np.int32), g) for s, g in rows], grades, bits)
 
 
-def rate(docs: DataFrame, model: OrdinalModel, keep_from: int = 2, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """carry (default: id_col), n_words, score, expected_grade, p_tail = P(grade >= keep_from), kept = p_tail >= least.
+def rate(docs: DataFrame, model: OrdinalModel, keep_from: int = 2, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_features, score, expected_grade, p_tail = P(grade >= keep_from), kept = p_tail >= least.
 
     Null texts count as empty and are rated like any other. Repeated rows come back repeated. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    carry = carry or [id_col]
+    return rated(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")), model, keep_from, least)
+
+
+def rated(rows: DataFrame, model: OrdinalModel, keep_from: int, least: float) -> DataFrame:
+    """rows: a column to carry and the text; with the columns of rate()."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    first = rows.schema.fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            found = [features(t, m.bits) for t in texts(batch.column(len(carry)))]
+            found = [features(t, m.bits) for t in texts(batch.column(1))]
             score = np.array([m.weights[x].sum(dtype=np.float64) for x in found], np.float64)
             tails = m.tails(score)
             n = np.array([len(x) for x in found], np.int64)
             columns = [n, score, tails.sum(axis=1), tails[:, keep_from - 1], tails[:, keep_from - 1] >= least]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *map(pa.array, columns)], names=[*carry, "n_features", "score", "expected_grade", "p_tail", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=[first.name, "n_features", "score", "expected_grade", "p_tail", "kept"])
+
+    return rows.mapInArrow(run, f"`{first.name}` {first.dataType.simpleString()}, n_features long, score double, expected_grade double, p_tail double, kept boolean")
+
 
-    rows = docs.select(*[F.col(c) for c in carry], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    kept = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in carry)
-    return rows.mapInArrow(run, f"{kept}, n_features long, score double, expected_grade double, p_tail double, kept boolean")
+def drop_poor(docs: DataFrame, model: OrdinalModel, keep_from: int = 2, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that rate() keeps, with all their columns under any name."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return rated(rows, model, keep_from, least).where("kept").select("row.*")
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
