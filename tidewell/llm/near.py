@@ -1,13 +1,15 @@
-"""Near-duplicate removal: pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""SimHash for near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of BANDS digests of ROWS min-hashes each: a pair of similarity s is missed with a chance of
-(1 - s^ROWS)^BANDS, 7e-6 at 0.8 and less above. Each candidate is confirmed on its whole sets. First each member of a bucket
-meets the bucket's least one only; then all pairs of a bucket that those links haven't joined meet, so that a group of many
-copies costs a pair a copy and no link is left out.
+At 0.8 each bit of two texts' fingerprints agrees with a chance of about AGREE, so one of 64 bits is too coarse: here a
+fingerprint has 256 bits. Shards are keyed by a few of them; so many choices of bits are tried that a pair at 0.8 misses all
+shards with a chance of MISS at most. Each shard's BK-tree is searched within RADIUS, and each link found is confirmed on the
+whole sets of shingles. The first search gives only as many links as join a shard's clusters; where one of those isn't
+confirmed, its shard is searched again for all links between texts that the confirmed ones haven't joined.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +20,11 @@ from pyspark.sql import functions as F
 
 from .batches import texts
 from .graph import connected_components
-from .shared import keep
+from .shared import join_heavy, keep
+from .simhash import search_shards
 
-BANDS, ROWS = 30, 5
-_RANDOM = np.random.default_rng(42)
-FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-SHIFTS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+BITS, RADIUS, AGREE, MISS = 256, 72, 0.82, 0.03
+MIXERS = [int(x) | 1 for x in np.random.default_rng(42).integers(0, 1 << 62, BITS // 64)]
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -38,30 +39,30 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], 42) for a, b in zip((end - size).tolist(), end[width - 1 :].tolist(), strict=False)], np.uint64))
 
 
-def band_digests(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for a in range(0, len(hashes), 512):
-        np.minimum(least, (hashes[a : a + 512, None] * FACTORS + SHIFTS).min(axis=0), out=least)
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """Bit i is set where over half of the shingles have it set, each spread to 256 bits; where just half have it, the sum of the hashes decides."""
+    with np.errstate(over="ignore"):
+        spread = np.stack([hashes * np.uint64(m) ^ (hashes >> np.uint64(29)) * np.uint64(m) for m in MIXERS], axis=1)
+        spread = (spread ^ spread >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+        spread ^= spread >> np.uint64(31)
+    counts = np.zeros(BITS, np.int64)
+    for a in range(0, len(spread), 4096):
+        counts += np.unpackbits(spread[a : a + 4096].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    over = (counts * 2 > len(hashes)) | ((counts * 2 == len(hashes)) & (np.arange(BITS) % 2 == 0))
+    return np.packbits(over, bitorder="little").tobytes()
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, size, bands): node is a digest of the set of shingles, of so many members; bands its buckets."""
+    """(id, node, size, fp): node is a digest of the set of shingles, of so many members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, bands = [], [], []
-            for t in texts(batch.column(1)):
-                found = shingles(t, width)
-                node.append(xxhash.xxh64_intdigest(found.tobytes()))
-                size.append(len(found))
-                bands.append(band_digests(found))
-            flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
-            each = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1) * BANDS, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), each], names=["id", "node", "size", "bands"])
+            found = [shingles(t, width) for t in texts(batch.column(1))]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(x) for x in found], pa.int32()), pa.array([wide_fingerprint(x) for x in found], pa.binary())], names=["id", "node", "size", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, node long, size int, bands array<long>")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, node long, size int, fp binary")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -83,53 +84,79 @@ def key_of(id_col: str):
     return F.coalesce(F.concat(F.lit("id "), F.col(id_col).cast("string")), F.lit("none"))
 
 
-def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def choices(n: int) -> list[list[int]]:
+    """Which bits key each of the shards' choices, for n rows: so many bits that shards have some sixteen rows where bits are even."""
+    bits = max(4, math.ceil(math.log2(max(n, 2))) - 4)
+    many = math.ceil(math.log(MISS) / math.log(1 - AGREE**bits))
+    random = np.random.default_rng(7)
+    return [sorted(random.choice(BITS, bits, replace=False).tolist()) for _ in range(many)]
+
+
+def deal(nodes: DataFrame) -> DataFrame:
+    """nodes: node, fp. (shard, node, fp) for each choice of bits."""
+    picked = choices(nodes.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.uint64(1) << np.arange(len(picked[0]), dtype=np.uint64)
+        for batch in batches:
+            for part in (batch.slice(i, 20_000) for i in range(0, batch.num_rows, 20_000)):
+                on = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
+                for i, bits in enumerate(picked):
+                    shard = (on[:, bits] * weight).sum(axis=1, dtype=np.uint64) * np.uint64(len(picked)) + np.uint64(i)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), part.column(0), part.column(1)], names=["shard", "node", "fp"])
+
+    return nodes.select("node", "fp").mapInArrow(run, "shard long, node long, fp binary")
+
+
+def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) for each row: component_id is the least id that links of similar texts reach.
 
-    Texts of the same set are one node, so such copies cost one row each. Null ids are never a component's id unless all are
-    null. Repeated rows come back repeated. Other columns aren't read. An empty table gives no rows.
+    Texts of the same set are one node, so such copies cost one row each. Fewer words than `width` are one shingle; null
+    texts are empty, and empty texts equal. Null ids are never a component's id unless all are null. Repeated rows come back
+    repeated. Other columns aren't read. An empty table gives no rows.
     """
     rows = keep(signatures(docs, width, id_col, text_col), "signatures")
-    nodes = keep(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "near-nodes")
-    members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1").select("bucket", "least")
-    members = keep(members.join(shared, "bucket"), "bucket-members")
-
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(key_of("least_id").alias("key")).distinct()
+    nodes = keep(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows")), "near-nodes")
+    members = keep(deal(nodes), "near-shards")
+    alone = F.lit(0).cast("long").alias("group")
+    found = keep(search_shards(members.select("shard", "node", "fp", alone), RADIUS, shard_rows), "near-candidates")
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    # Sets of the texts that some link names.
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select(key_of("least_id").alias("key")).distinct()
     text = docs.select(key_of(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "key", "left_semi").select("text")
     sets = keep(sets_of(text, width), "shingle-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of (a, b) those of enough similarity."""
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
+        sized = nodes.select("node", "size")
+        likely = pairs.join(sized.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").join(sized.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
+        likely = likely.where(F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9).select("a", "b")
+        both = likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
         common = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("sum"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
         return common.where(F.col("common") >= F.lit(similarity) * (F.col("sum") - F.col("common")) - 1e-9).select("a", "b")
 
-    sizes = members.select(F.col("node").alias("least"), F.col("size").alias("least_size")).distinct()
-    like = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
-    stars = members.where("node != least").select("node", "least", "size").distinct().join(sizes, "least").where(like("size", "least_size"))
-    links = keep(confirmed(stars.select(F.col("least").alias("a"), F.col("node").alias("b"))), "star-links")
-
-    # The rest: pairs of a bucket in different components so far; what stars compared and refused comes again, once.
-    roots = connected_components(links)
-    rooted = keep(members.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root")), "rooted-members")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    left = rooted.join(mixed, "bucket", "left_semi")
-    other = left.select("bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    rest = left.join(other, "bucket").where((F.col("root") < F.col("root_b")) & like("size", "size_b")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    links = keep(links.union(confirmed(rest)), "near-links")
-
+    links = keep(confirmed(pairs), "near-links")
+    undirected = links.union(links.select("b", "a"))
+    refused = keep(found.join(undirected, ["a", "b"], "left_anti").select("shard").distinct(), "refused-shards")
     roots = connected_components(links)
-    named = keep(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "near-rooted")
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
-    return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id")
+    if not refused.isEmpty():
+        again = members.join(refused, "shard", "left_semi").join(roots, "node", "left").select("shard", "node", "fp", F.coalesce("root", "node").alias("group"))
+        more = search_shards(again, RADIUS, shard_rows, spanning=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = keep(links.union(confirmed(more.join(pairs, ["a", "b"], "left_anti"))), "near-links")
+        roots = connected_components(links)
+    named = keep(nodes.join(roots, "node", "left").select("node", "least_id", "rows", F.coalesce("root", "node").alias("root")), "near-rooted")
+    least = keep(named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "near-least")
+    named = keep(join_heavy(named.select("root", "node", "rows"), least, "root", "nodes").select("node", "component_id", "rows"), "near-named")
+    return join_heavy(rows.select("id", "node"), named, "node", "rows").select(F.col("id").alias(id_col), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of its least id (one of them, if rows repeat an id)."""
+    """docs with one row of each component: that of its least id (one of them, if rows repeat an id), with all columns under any name."""
     # One exact key without nulls deals the rows out once, for the join and for the last step.
     key = key_of(id_col)
-    found = near_components(docs, width, similarity, id_col, text_col)
-    kept = keep(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct(), "kept-ids")
-    return docs.withColumn("__key", key).join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    found = near_components(docs, width, similarity, id_col=id_col, text_col=text_col)
+    kept = keep(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("key")).distinct(), "kept-ids")
+    full = docs.select(key.alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return full.join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
