@@ -10,7 +10,7 @@ from tidewell.llm import bpe, decontaminate, exact_dedup, near, quality, queries
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose chance of the best grade is under a half: poor ones and toxic ones."""
     model = quality.train(docs, quality.grades_of(queries.table(spark, sf_dir, "labels")))
-    return quality.rate(docs, model, carry=docs.columns, text_col="text").where("kept").select(docs.columns)
+    return quality.drop_poor(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of op4."""
-    return queries.digests_of_tokens(bpe.bpe_encode(docs, f"{queries.TOKENIZERS}/word_bpe_49k.json"))
+    return queries.digests_of_tokens(bpe.bpe_encode(docs, queries.tokenizer_path()))
 
 
 STAGES = [("quality", quality_stage), ("exact", exact_stage), ("near", near_stage), ("benchmark", benchmark_stage), ("tokens", token_stage)]
