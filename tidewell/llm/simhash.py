@@ -59,14 +59,18 @@ class BKTree:
 
     def __init__(self) -> None:
         self.values: list[int] = []
+        self.numbers: list[int] = []
         self.children: list[dict[int, int]] = []
-        self.open: list[bool] = []
+        self.open: set[int] = set()
 
-    def add(self, value: int) -> None:
+    def add(self, value: int, number: int | None = None) -> None:
+        """number: the value's name; by default how many were added before."""
+        new = len(self.values)
         self.values.append(value)
+        self.numbers.append(new if number is None else number)
         self.children.append({})
-        self.open.append(True)
-        new, at = len(self.values) - 1, 0
+        self.open.add(self.numbers[-1])
+        at = 0
         while new:
             down = self.children[at].setdefault((self.values[at] ^ value).bit_count(), new)
             if down == new:
@@ -80,15 +84,23 @@ class BKTree:
             at = stack.pop()
             d = (self.values[at] ^ value).bit_count()
             if d <= radius:
-                found.append(at)
-            stack += [child for edge, child in self.children[at].items() if d - radius <= edge <= d + radius]
+                found.append(self.numbers[at])
+            children = self.children[at]
+            if children:
+                stack += [child for edge, child in children.items() if d - radius <= edge <= d + radius]
         return found
 
     def take(self, value: int, radius: int) -> list[int]:
-        """Numbers of the values within the radius that no earlier call has returned."""
-        found = [at for at in self.near(value, radius) if self.open[at]]
-        for at in found:
-            self.open[at] = False
+        """Numbers of the values within the radius that no earlier call has returned. Once half of the tree is taken it is built anew of the rest."""
+        if not self.open:
+            return []
+        found = [n for n in self.near(value, radius) if n in self.open]
+        self.open.difference_update(found)
+        if len(self.open) * 2 < len(self.values):
+            rest = [(v, n) for v, n in zip(self.values, self.numbers, strict=True) if n in self.open]
+            self.values, self.numbers, self.children = [], [], []
+            for v, n in rest:
+                self.add(v, n)
         return found
 
 
@@ -111,9 +123,9 @@ def spanning_links(tree_values: list[int], queries: list[int], radius: int) -> l
     shift = [0, len(tree_values) if len(values) > 1 else 0]
     links = []
     for start, value in enumerate(queries):
-        if not trees[-1].open[start]:
+        if start not in trees[-1].open:
             continue
-        trees[-1].open[start] = False
+        trees[-1].open.discard(start)
         frontier = [(len(trees) - 1, start, value)]
         while frontier:
             side, i, v = frontier.pop()
@@ -190,13 +202,20 @@ def search_shards(members: DataFrame, radius: int, shard_rows: int, spanning: bo
             return pa.RecordBatch.from_arrays([pa.array(ends[:, c].copy()) for c in range(3)], names=["shard", "a", "b"])
 
         for batch in batches:
-            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for key, row in zip(keys, zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True), strict=True):
+            shard, pair, group = (batch.column(c).to_numpy() for c in (0, 1, 5))
+            cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (pair[1:] != pair[:-1])) + 1
+            # Most shards hold one row: only those of several, and the batch's first and last, are looked at.
+            bounds = np.concatenate(([0], cuts, [len(shard)]))
+            several = np.flatnonzero(np.diff(bounds) > 1)
+            for k in np.unique(np.concatenate((several, [0, len(bounds) - 2]))).tolist() if len(shard) else ():
+                a, b = int(bounds[k]), int(bounds[k + 1])
+                key = (int(shard[a]), int(pair[a]))
                 if key != at:
                     if at is not None:
                         search()
                     at, held = key, []
-                held.append(row)
+                part = batch.slice(a, b - a)
+                held += zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), group[a:b].tolist(), strict=True)
             if len(out) > 100_000:
                 yield emit()
         if at is not None:
