@@ -44,13 +44,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", bro
     known = rules.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).dropna().distinct()
     labels = lambda c: F.size(F.split(c, r"\.", -1))
     known = hashed(known, F.concat("r_host", "r_path")).withColumns({"labels": labels(F.col("r_host")), "length": F.length("r_path")})
-    shapes = known.select("labels", "length").distinct().limit(100_000).collect()  # a host has 127 labels at most, a path some thousand characters
+    # All shapes, as one row: hosts have 127 labels at most and paths some thousand characters, so they are few.
+    shapes = known.select("labels", "length").distinct().agg(F.collect_list(F.struct("labels", "length")).alias("shapes"))
     urls = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    shape = F.array(*[F.struct(F.lit(r["labels"]).alias("labels"), F.lit(r["length"]).alias("length")) for r in shapes]) if shapes else F.array().cast("array<struct<labels:int,length:int>>")
     parts, n, size = F.split("host", r"\.", -1), labels(F.col("host")), F.length("path")
-    fitting = F.filter(shape, lambda s: (s["labels"] <= n) & (s["length"] <= size))
+    fitting = F.filter("shapes", lambda s: (s["labels"] <= n) & (s["length"] <= size))
     expression = F.transform(fitting, lambda s: F.concat(F.array_join(F.slice(parts, n - s["labels"] + 1, s["labels"]), "."), F.substr(F.col("path"), F.lit(1), s["length"])))
-    expanded = hashed(urls.select("host", "path").distinct().select("host", "path", F.explode(expression).alias("expression")), F.col("expression"))
+    distinct = urls.select("host", "path").distinct().crossJoin(F.broadcast(shapes))
+    expanded = hashed(distinct.select("host", "path", F.explode(expression).alias("expression")), F.col("expression"))
     side = known.select("prefix", F.col("digest").alias("r_digest"), "r_host", "r_path", "r_verdict")
     side = F.broadcast(side) if known.count() <= broadcast_rules else side
     fit = expanded.join(side, "prefix").where("digest = r_digest")
