@@ -140,9 +140,12 @@ def test_decontaminate(spark):
                         hit |= {*range(p, p + n)}
                         found.add(str(i))
         want[d] = (len(w), len(hit), sorted(found))
+    longest = []
     for block in (32 << 20, 300):
-        got = {row["doc_id"]: (row["n_words"], row["n_hit"], row["items"]) for row in decontaminate.contamination(frame(spark, docs), bench, block_bytes=block, shard_bytes=2000).collect()}
-        assert got == want
+        rows = decontaminate.contamination(frame(spark, docs), bench, block_bytes=block, shard_bytes=2000).collect()
+        assert {row["doc_id"]: (row["n_words"], row["n_hit"], row["items"]) for row in rows} == want
+        longest.append({row["doc_id"]: (row["longest"], row["longest_item"], row["longest_at"]) for row in rows})
+    assert longest[0] == longest[1]
     kept = decontaminate.drop_contaminated(frame(spark, docs), bench)
     assert sorted(row["doc_id"] for row in kept.collect()) == sorted(d for d in want if not want[d][1])
 

@@ -165,7 +165,7 @@ def contamination(
 
     Words are runs of a-z (A-Z lower-cased), 0-9 and non-ASCII characters. A window is `window` consecutive words of an item;
     an item of fewer words, but not none, is one window. A document word inside any occurrence of a window is hit. The
-    longest match is the longest verbatim run (ties: first item read, then first place); null where nothing matches.
+    longest match is the longest verbatim run (ties: the first item by name, then the first place); null where nothing matches.
     Null or empty texts have no words; null items ids are left out of `items` but their windows hit. Repeated rows come
     back repeated; items whose ids repeat count once. Empty tables give no rows, or no hits.
 
@@ -186,14 +186,15 @@ def contamination(
         whole = parts[0]
         for p in parts[1:]:
             whole = whole.unionByName(p)
-        best = F.max(F.struct("longest", "longest_item", "longest_at")).alias("best")
+        # As in one block: the longest, then the first item by name, then the first place.
+        best = F.min(F.struct((-F.col("longest")).alias("shorter"), F.when(F.col("longest") > 0, F.col("longest_item")).alias("longest_item"), "longest_at")).alias("best")
         merged = whole.groupBy("__row").agg(F.first(id_col).alias(id_col), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.collect_list("items").alias("i"), best)
         pairs = lambda s: F.when(F.size(s) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 2, F.lit(0)), F.lit(2)), lambda k: F.struct(s[k].alias("a"), s[k + 1].alias("b")))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
         joined = F.aggregate(
             F.array_sort(F.flatten(F.transform("s", pairs))), F.array().cast("array<bigint>"),
             lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.try_element_at(acc, F.lit(-1)), x["b"])))).otherwise(F.concat(acc, F.array(x["a"], x["b"]))),
         )
-        found = merged.select(id_col, "n_words", joined.alias("spans"), F.flatten("i").alias("items"), "best.*")
+        found = merged.select(id_col, "n_words", joined.alias("spans"), F.flatten("i").alias("items"), (-F.col("best.shorter")).alias("longest"), "best.longest_item", "best.longest_at")
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
     items = F.array_sort(F.array_distinct(F.array_compact("items")))
     some = lambda c: F.when(F.col("longest") > 0, F.col(c)).alias(c)
@@ -202,6 +203,7 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """docs without those of which a word is hit; an id with several rows goes if one of its rows is hit. Null ids with a hit go, too."""
-    bad = contamination(docs, benchmark, window, id_col=id_col, text_col=text_col, item_col=item_col).where("n_hit > 0").select(F.col(id_col).alias("__id")).distinct()
+    bad = contamination(docs, benchmark, window, id_col=id_col, text_col=text_col, item_col=item_col).where("n_hit > 0").select(F.col(id_col).alias("bad_id")).distinct()
     bad = keep(bad, "contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    rows = docs.select(docs[id_col].alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # columns of any name
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
