@@ -16,8 +16,36 @@ def arrhenius(celsius: Column, activation_j: float, reference: float = 20.0) ->
 
 
 def viscosity(celsius: Column) -> Column:
-    """Kinematic viscosity of water, m2/s (Vogel form)."""
-    return F.lit(2.414e-5) * F.pow(F.lit(10.0), F.lit(247.8) / (celsius + 133.15)) / 998.2
+    """Kinematic viscosity of water, m2/s."""
+    return F.lit(497e-6) / F.pow(celsius + 42.5, F.lit(1.5))
+
+
+def viscosity_ratio(celsius: Column, reference: float = 20.0) -> Column:
+    """Viscosity against that at the reference temperature."""
+    return viscosity(celsius) / viscosity(F.lit(reference))
+
+
+def bulk_scale(celsius: Column, er: float, toc: Column, toc_reference: float) -> Column:
+    """Multiplier of a bulk rate: by temperature (er: activation energy over the gas constant, K) and organic carbon; unknown ones count as the reference."""
+    return F.coalesce(arrhenius(celsius, er * GAS), F.lit(1.0)) * F.coalesce(toc / toc_reference, F.lit(1.0))
+
+
+def wall_scale(celsius: Column, er: float, mode: Column) -> Column:
+    """Multiplier of a wall rate: by temperature, or 1 where mass transfer alone governs it or the temperature is unknown."""
+    return F.when(celsius.isNull() | (mode == "mass_transfer_only"), 1.0).otherwise(arrhenius(celsius, er * GAS))
+
+
+def hazen_williams_equivalent(diameter: Column, roughness: Column, velocity: Column, nu: Column) -> Column:
+    """Hazen-Williams C that gives a pipe's Darcy-Weisbach headloss at a velocity (Swamee-Jain friction). Metres, m/s, m2/s."""
+    reynolds = velocity * diameter / nu
+    friction = 0.25 / F.pow(F.log10(roughness / (3.7 * diameter) + 5.74 / F.pow(reynolds, F.lit(0.9))), F.lit(2.0))
+    flow = velocity * math.pi * diameter * diameter / 4
+    return F.pow(10.67 * F.pow(flow, F.lit(1.852)) * 2 * 9.81 * diameter / (F.pow(diameter, F.lit(4.8704)) * friction * velocity * velocity), F.lit(1 / 1.852))
+
+
+def hour_encoding(hour: Column) -> list[Column]:
+    """Sine and cosine of an hour's place in the day."""
+    return [F.sin(2 * math.pi * hour / 24), F.cos(2 * math.pi * hour / 24)]
 
 
 def seasonal(day: Column, mean: float, amplitude: float, peak_day: float) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that mean "not detected".
-NOT_DETECTED = ["nd", "n.d.", "n.d", "bdl", "bld", "not detected", "none detected"]
+NOT_DETECTED = ["nd", "n.d.", "n/d", "non-detect", "nondetect", "non detect", "not detected", "bdl", "below detection", "<dl", "<mdl", "<rl", "<lod", "<mrl"]
 #: Words and marks of a blank cell.
 BLANK = ["", "-", "--", "na", "n/a", "nan", "null", "none"]
 
@@ -18,8 +18,8 @@ def reading(text: Column) -> Column:
     """
     t = F.lower(F.trim(text))
     body = F.trim(F.regexp_replace(t, r"\s*(mg/l|ppm)$", ""))
-    sign = F.regexp_extract(body, "^([<>])", 1)
-    number = F.regexp_extract(body, r"^[<>]?\s*([0-9]+(?:[.,][0-9]+)?|[.,][0-9]+)$", 1)
+    sign = F.regexp_extract(body, "^([<>])=?", 1)
+    number = F.regexp_extract(body, r"^(?:[<>]=?)?\s*([0-9]+(?:[.,][0-9]+)?|[.,][0-9]+)$", 1)
     value = F.translate(number, ",", ".").try_cast("double")
     state = (
         F.when(text.isNull() | t.isin(BLANK), "blank").when(t.isin(NOT_DETECTED) | ((sign == "<") & value.isNotNull()), "censored_below")
@@ -60,9 +60,12 @@ def header_unit(text: Column) -> Column:
 
 
 def clean_id(text: Column) -> Column:
-    """An id of letters, digits, _ . and -, at most 31 bytes; longer ones end in a digest."""
-    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_.-]+", "_"), "_+", "_"), "^_|_$", "")
-    return F.when(F.octet_length(safe) <= 31, safe).otherwise(F.concat(F.substring(safe, 1, 22), F.lit("_"), F.substring(F.sha1(text.cast("binary")), 1, 8)))
+    """An id of letters, digits and _ . - : + / # @, at most 31 bytes in UTF-8; longer ones are cut and end in a digest; of nothing, X."""
+    t = F.trim(text)
+    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}_.\-:+/#@]", "_"), "_+", "_"), "^_|_$", "")
+    safe = F.when(safe == "", "X").otherwise(safe)
+    heads = F.filter(F.transform(F.sequence(F.lit(0), F.lit(22)), lambda n: F.substr(safe, F.lit(1), n)), lambda h: F.octet_length(h) <= 22)
+    return F.when(F.octet_length(safe) <= 31, safe).otherwise(F.concat(F.try_element_at(heads, F.lit(-1)), F.lit("_"), F.substring(F.sha1(t.cast("binary")), 1, 8)))
 
 
 def year(text: Column) -> Column:
@@ -81,13 +84,48 @@ def bare_unit(least: Column, most: Column) -> Column:
     return F.when((least >= 2) & (most <= 48), "in").when((least >= 50) & (most <= 1200), "mm").when((least >= 0.05) & (most <= 1.2), "m")
 
 
-def diameter_mm(text: Column) -> Column:
-    """Pipe size in millimetres of cells like 8", 1-1/2 in, DN150, 200mm or 0.3 m; null for bare numbers, lengths and others."""
-    t = F.lower(F.regexp_replace(text, r"(\d),(\d{3})", "$1$2"))
-    g = lambda p, i=1: F.regexp_extract(t, p, i)
-    inch = r"(?:\"|in\b|inch)"
-    mixed = g(rf"(\d+)[- ](\d+)/(\d+)\s*{inch}", 1).try_cast("double") + g(rf"(\d+)[- ](\d+)/(\d+)\s*{inch}", 2).try_cast("double") / g(rf"(\d+)[- ](\d+)/(\d+)\s*{inch}", 3).try_cast("double")
-    return F.coalesce(
-        g(r"\bdn\s*(\d+)").try_cast("double"), g(r"(\d+(?:\.\d+)?)\s*mm\b").try_cast("double"), g(r"(\d+(?:\.\d+)?)\s*cm\b").try_cast("double") * 10,
-        mixed * 25.4, g(rf"(\d+(?:\.\d+)?)\s*{inch}").try_cast("double") * 25.4, g(r"(?<![=\d])(\d+(?:\.\d+)?)\s*m\b").try_cast("double") * 1000,
+MILLIMETRES = {"in": 25.4, "mm": 1.0, "cm": 10.0, "m": 1000.0}
+
+
+def pipe_size(text: Column) -> Column:
+    """struct(value, unit, flag) of a pipe size as drawings and layers write it.
+
+    unit is in, mm, cm, m, or null for a bare number; flag is null, empty, unreadable, reducer or two sizes. A number with a
+    unit wins over a bare one. Lengths (350', L=350) and years beside another number are passed over. Two sizes with units
+    within five percent of each other are one, its inch value.
+    """
+    t = F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, "[″“”]|''", '"'), "[’′‘]", "'")))
+    t = F.regexp_replace(F.regexp_replace(t, "[ø⌀]", ""), r"(\d),(\d{3})(?!\d)", "$1$2")
+    named = t.isin("na", "n/a", "unknown", "unk", "?", "-")
+    bare = F.regexp_replace(F.regexp_replace(t, r"\bl\s*=\s*[0-9.]+\s*'?", " "), r"[0-9.]+\s*'(?!')", " ")
+    g = lambda p, i=1: F.regexp_extract(bare, p, i)
+    number = r"(\d+(?:\.\d+)?)"
+    pair = lambda i: g(rf'{number}\s*"?\s*x\s*{number}', i).try_cast("double")
+    both = lambda i: g(rf"{number}\s*(?:&|and)\s*{number}", i).try_cast("double")
+    inch = r'(?:"|in\b|inch)'
+    mixed, part = rf"(\d+)[- ]+(\d+)/(\d+)\s*{inch}", rf"(?<![\d-])(\d+)/(\d+)\s*{inch}"
+    inches = F.coalesce(
+        g(mixed, 1).try_cast("double") + g(mixed, 2).try_cast("double") / g(mixed, 3).try_cast("double"), g(part, 1).try_cast("double") / g(part, 2).try_cast("double"),
+        g(rf"{number}\s*{inch}").try_cast("double"), g(rf"\bnps\s*{number}").try_cast("double"),
+    )
+    mm = F.coalesce(g(rf"\bdn\s*{number}").try_cast("double"), g(rf"{number}\s*mm\b").try_cast("double"))
+    cm, m = g(rf"{number}\s*cm\b").try_cast("double"), g(rf"(?<![=\d]){number}\s*m\b").try_cast("double")
+    alone = F.regexp_extract_all(F.regexp_replace(bare, r"\b(?:18[5-9]\d|19\d\d|20[0-2]\d|2030)\b", " "), F.lit(r"(?<![\w.])(\d+(?:\.\d+)?)(?![\w.])"), F.lit(1))
+    whole = F.regexp_extract(bare, r"^\s*(\d+(?:\.\d+)?)\s*$", 1).try_cast("double")
+    single = F.coalesce(whole, F.when(F.size(alone) == 1, F.get(alone, F.lit(0)).try_cast("double")))
+    dual = inches.isNotNull() & mm.isNotNull() & (F.abs(inches * 25.4 - mm) <= 0.05 * mm)
+    flag = (
+        F.when(t.isNull() | t.isin("", "0", "none", "null"), "empty").when(named, "unreadable").when(pair(1).isNotNull() & (pair(1) != pair(2)), "reducer").when(both(1).isNotNull() & (both(1) != both(2)), "two sizes")
+        .when(inches.isNotNull() & mm.isNotNull() & ~dual, "two sizes").when(F.coalesce(inches, mm, cm, m, pair(1), single).isNull(), "unreadable")
     )
+    unit = F.when(inches.isNotNull(), "in").when(mm.isNotNull(), "mm").when(cm.isNotNull(), "cm").when(m.isNotNull(), "m")
+    return F.struct(F.when(flag.isNull(), F.coalesce(inches, mm, cm, m, pair(1), single)).alias("value"), F.when(flag.isNull(), unit).alias("unit"), flag.alias("flag"))
+
+
+def diameter_mm(text: Column) -> Column:
+    """Pipe size in millimetres of cells that name a unit; null for bare numbers, lengths, reducers and others."""
+    size = pipe_size(text)
+    out = F.lit(None).cast("double")
+    for unit, factor in MILLIMETRES.items():
+        out = F.when(size["unit"] == unit, size["value"] * factor).otherwise(out)
+    return out

@@ -12,15 +12,6 @@ def ratio(top: Column, bottom: Column, undefined: float | None = None) -> Column
 
 
 def upper_median(x: Column) -> Column:
-    """The value at place n // 2 (from 0) of the sorted group: of an even number, the upper of the middle two."""
+    """The value at place n // 2 (from 0) of the sorted group: of an even number, the upper of the middle two. For groups of bounded size (a site's day)."""
     s = F.sort_array(F.collect_list(x))
     return F.get(s, F.floor(F.size(s) / 2).cast("int"))
-
-
-def weighted_quantile(value: Column, weight: Column, q: float) -> Column:
-    """Least value whose cumulative share of weight reaches q - 1e-12. For groups of bounded size (members of one grid)."""
-    pairs = F.sort_array(F.collect_list(F.struct(value.alias("v"), weight.alias("w"))))
-    total = F.sum(weight)
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("v"))
-    step = lambda a, p: F.struct((a["c"] + p["w"]).alias("c"), F.when(a["v"].isNull() & ((a["c"] + p["w"]) / total >= q - 1e-12), p["v"]).otherwise(a["v"]).alias("v"))
-    return F.aggregate(pairs, start, step)["v"]

@@ -1,13 +1,24 @@
-"""Numerical kernels per group, in applyInPandas: each group is one network or scenario, whose size a model file bounds."""
+"""Numerical kernels per group, in applyInPandas, and what cuts larger inputs into groups that bounds hold for.
+
+A kernel works on dense matrices, so it refuses a group of more than `most` rows instead of taking what would not fit.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .network import components
+
 
+def check_size(n: int, most: int, what: str) -> None:
+    if n > most:
+        raise ValueError(f"{what}: a group has {n} members, more than {most}; cut it into smaller groups first")
 
-def classical_mds(distances: DataFrame, group: str, k: int = 2) -> DataFrame:
+
+def classical_mds(distances: DataFrame, group: str, k: int = 2, most: int = 2000) -> DataFrame:
     """(group, node, c1 .. ck): coordinates whose distances fit. distances: group, a, b, d, both ways or one.
 
     Each axis's largest coordinate is positive, so that the result is one of the equivalent mirror images.
@@ -15,6 +26,7 @@ def classical_mds(distances: DataFrame, group: str, k: int = 2) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.concatenate([frame["a"], frame["b"]]))
+        check_size(len(nodes), most, "classical_mds")
         i, j = np.searchsorted(nodes, frame["a"]), np.searchsorted(nodes, frame["b"])
         d2 = np.zeros((len(nodes), len(nodes)))
         d2[i, j] = d2[j, i] = frame["d"].to_numpy() ** 2
@@ -30,49 +42,53 @@ def classical_mds(distances: DataFrame, group: str, k: int = 2) -> DataFrame:
     return distances.groupBy(group).applyInPandas(run, f"`{group}` {types[group]}, node {types['a']}, " + ", ".join(f"c{c + 1} double" for c in range(k)))
 
 
-def bridges(links: DataFrame, group: str) -> DataFrame:
-    """(group, link, is_bridge): links whose closing parts their network. links: group, link, a, b; parallel ones are none."""
+def landmark_mds(distances: DataFrame, group: str, k: int = 2, most: int = 500) -> DataFrame:
+    """(group, node, c1 .. ck): coordinates of any number of nodes from their distances to at most `most` landmarks a group.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for k, (a, b) in enumerate(zip(frame["a"], frame["b"], strict=True)):
-            near.setdefault(a, []).append((b, k))
-            near.setdefault(b, []).append((a, k))
-        order: dict = {}
-        low: dict = {}
-        found = np.zeros(len(frame), bool)
-        for root in near:
-            if root in order:
-                continue
-            order[root] = low[root] = len(order)
-            stack = [(root, -1, iter(near[root]))]
-            while stack:
-                node, by, rest = stack[-1]
-                for other, k in rest:
-                    if k == by:
-                        continue
-                    if other in order:
-                        low[node] = min(low[node], order[other])
-                    else:
-                        order[other] = low[other] = len(order)
-                        stack.append((other, k, iter(near[other])))
-                        break
-                else:
-                    stack.pop()
-                    if stack:
-                        up = stack[-1][0]
-                        low[up] = min(low[up], low[node])
-                        found[by] |= low[node] > order[up]
-        return pd.DataFrame({group: frame[group], "link": frame["link"], "is_bridge": found})
-
-    types = dict(links.dtypes)
-    return links.groupBy(group).applyInPandas(run, f"`{group}` {types[group]}, link {types['link']}, is_bridge boolean")
-
-
-def complete_linkage(points: DataFrame, group: str, tol: float) -> DataFrame:
+    distances: group, node, landmark, d; landmarks are nodes, too, with all distances between them. The landmarks are placed
+    by classical scaling, in one task a group; every other node by its distances to them, as a join and sums.
+    """
+    types = dict(distances.dtypes)
+    axes = [f"p{c + 1}" for c in range(k)]
+
+    def place(frame: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(frame["landmark"])
+        check_size(len(names), most, "landmark_mds")
+        d2 = np.zeros((len(names), len(names)))
+        d2[np.searchsorted(names, frame["node"]), np.searchsorted(names, frame["landmark"])] = frame["d"].to_numpy() ** 2
+        centre = np.eye(len(names)) - 1 / len(names)
+        values, vectors = np.linalg.eigh(-0.5 * centre @ d2 @ centre)
+        out = pd.DataFrame({group: frame[group].iloc[0], "landmark": names, "mean2": d2.mean(axis=0)})
+        for c, axis in enumerate(axes):
+            value = values[-1 - c] if c < len(names) else 0.0
+            v = vectors[:, -1 - c] if c < len(names) else np.zeros(len(names))
+            out[axis] = v * (np.sign(v[np.argmax(np.abs(v))]) or 1) / np.sqrt(value) if value > 1e-9 * max(values[-1], 1e-300) else 0.0
+        return out
+
+    marks = distances.select(group, F.col("landmark").alias("node")).distinct()
+    among = distances.join(marks, [group, "node"], "left_semi")
+    placed = among.groupBy(group).applyInPandas(place, f"`{group}` {types[group]}, landmark {types['landmark']}, mean2 double, " + ", ".join(f"{a} double" for a in axes))
+    pull = -0.5 * (F.col("d") * F.col("d") - F.col("mean2"))
+    return distances.join(placed, [group, "landmark"]).groupBy(group, "node").agg(*[F.sum(pull * F.col(a)).alias(f"c{c + 1}") for c, a in enumerate(axes)])
+
+
+def linkage_groups(points: DataFrame, group: str, tol: float) -> DataFrame:
+    """points with `piece`: points of a group in different pieces are over tol apart, so no cluster has both. By cells of tol and their neighbours."""
+    cell = lambda c: F.floor(F.col(c) / tol)
+    placed = points.withColumn("_cell", F.concat_ws(" ", F.col(group).cast("string"), cell("x"), cell("y")))
+    cells = placed.groupBy("_cell").agg(F.first(group).alias("g"), F.first(cell("x")).alias("i"), F.first(cell("y")).alias("j"))
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    near = cells.withColumn("s", steps).select(F.col("_cell").alias("a"), F.concat_ws(" ", F.col("g").cast("string"), F.col("i") + F.col("s.a"), F.col("j") + F.col("s.b")).alias("b"))
+    edges = near.join(cells.select(F.col("_cell").alias("b")), "b", "left_semi").select("a", "b")
+    parts = components(cells.select(F.col("_cell").alias("node")), edges)
+    return placed.join(parts.select(F.col("node").alias("_cell"), F.col("part").alias("piece")), "_cell").drop("_cell")
+
+
+def complete_linkage(points: DataFrame, group: str, tol: float, most: int = 4000) -> DataFrame:
     """(group, id, cluster): merges the nearest clusters while their farthest points are within tol; a cluster is named by its least id."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        check_size(len(frame), most, "complete_linkage")
         frame = frame.sort_values("id")
         ids, xy = frame["id"].to_numpy(), frame[["x", "y"]].to_numpy(float)
         d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
@@ -95,7 +111,7 @@ def matern32(a: np.ndarray, b: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return (1 + r) * np.exp(-r)
 
 
-def gaussian_process(rows: DataFrame, group: str, features: list[str], y: str, noise: float = 0.1, ridge: float = 1e-3) -> DataFrame:
+def gaussian_process(rows: DataFrame, group: str, features: list[str], y: str, noise: float = 0.1, ridge: float = 1e-3, most: int = 2000) -> DataFrame:
     """(group, id, mu, sd): a ridge line in the features plus a Matern-3/2 process on what it leaves.
 
     Rows with y train, all are predicted. Features are scaled by the training rows' sample deviation (0 counts as 1); the
@@ -103,6 +119,7 @@ def gaussian_process(rows: DataFrame, group: str, features: list[str], y: str, n
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        check_size(len(frame), most, "gaussian_process")
         x, t = frame[features].to_numpy(float), frame[y].to_numpy(float)
         known = ~np.isnan(t)
         out = pd.DataFrame({group: frame[group], "id": frame["id"], "mu": np.nan, "sd": np.nan})
@@ -130,30 +147,3 @@ def gaussian_process(rows: DataFrame, group: str, features: list[str], y: str, n
 
     types = dict(rows.dtypes)
     return rows.groupBy(group).applyInPandas(run, f"`{group}` {types[group]}, id {types['id']}, mu double, sd double")
-
-
-def chloramine(runs: DataFrame, hours: int = 24, step: float = 0.05) -> DataFrame:
-    """(run, hour, total): total chlorine of a batch with first-order loss and ammonia-limited breakdown, by fourth-order Runge-Kutta.
-
-    runs: run, total, ammonia, k_loss, k_break. All runs of a batch advance together.
-    """
-
-    def kernel(frames):
-        for f in frames:
-            state = f[["total", "ammonia"]].to_numpy(float)
-            loss, split = f["k_loss"].to_numpy(float), f["k_break"].to_numpy(float)
-
-            def slope(s):
-                broken = split * s[:, 0] * s[:, 0] / (1 + s[:, 1])  # noqa: B023
-                return np.column_stack([-loss * s[:, 0] - 2 * broken, broken])  # noqa: B023
-
-            for hour in range(hours + 1):
-                yield pd.DataFrame({"run": f["run"], "hour": hour, "total": state[:, 0]})
-                for _ in range(round(1 / step)):
-                    a = slope(state)
-                    b = slope(state + step / 2 * a)
-                    c = slope(state + step / 2 * b)
-                    d = slope(state + step * c)
-                    state = np.maximum(state + step / 6 * (a + 2 * b + 2 * c + d), 0)
-
-    return runs.mapInPandas(kernel, f"run {dict(runs.dtypes)['run']}, hour int, total double")

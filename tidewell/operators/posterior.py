@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import weighted_quantiles
+
 FLOOR = 0.02  # mg/L, before logarithms
 
 
@@ -60,3 +62,75 @@ def edge_mass(w: DataFrame, members: DataFrame, axis: str) -> DataFrame:
 def best_member() -> Column:
     """Aggregate over (member, w): the member of the largest weight; ties go to the first."""
     return F.max_by("member", F.struct("w", -F.col("member")))
+
+
+def with_doses(grid: DataFrame, doses: list[float]) -> DataFrame:
+    """hour, junction, dose, z: each member's ln C under each dose (a fixed few). One row becomes as many as there are doses."""
+    return grid.withColumn("dose", F.explode(F.array(*map(F.lit, doses)))).withColumn("z", F.transform("z", lambda z: z + F.log("dose")))
+
+
+def own_condition(samples: DataFrame, bank: DataFrame, condition: list[str]) -> DataFrame:
+    """(condition columns, hour, junction, y, z): each sample with the grid of its own condition; samples without one are left out."""
+    return samples.join(bank, [*condition, "hour", "junction"])
+
+
+def local_variance(grid: DataFrame, w: DataFrame, siblings: int) -> DataFrame:
+    """(hour, junction, var): population variance over each run of `siblings` members, weighed by the run's weight. w: member, w."""
+    groups = w.groupBy(F.floor(F.col("member") / siblings).alias("g")).agg(F.sum("w").alias("w"))
+    array = groups.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "w"))), lambda s: s["w"]).alias("w"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+    def variance(g: Column) -> Column:
+        own = F.slice("z", (g * siblings + 1).cast("int"), F.lit(siblings))
+        mean = total(own) / siblings
+        return total(F.transform(own, lambda z: (z - mean) * (z - mean))) / siblings
+
+    each = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda g: F.get("w", g) * variance(g))
+    return grid.crossJoin(F.broadcast(array)).select("hour", "junction", total(each).alias("var"))
+
+
+def hydraulic_weights(w: DataFrame, siblings: int) -> DataFrame:
+    """(sibling, w): weights summed over all members that share a place among their siblings."""
+    return w.groupBy((F.col("member") % siblings).alias("sibling")).agg(F.sum("w").alias("w"))
+
+
+def weighted_mean_and_band(values: DataFrame, w: DataFrame, key: str, by: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """by, mean, low, high: over members weighed by w (key, w)."""
+    joined = values.join(w, key)
+    mean = joined.groupBy(*by).agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("mean"))
+    ends = weighted_quantiles(joined, value, "w", by, [low, high])
+    return mean.join(ends.withColumnsRenamed({f"q_{round(low * 100):02d}": "low", f"q_{round(high * 100):02d}": "high"}), by)
+
+
+def loss_split(runs: DataFrame, least: float = 0.02, floor: float = 1e-6) -> DataFrame:
+    """(junction, total, bulk, wall, bulk_share, wall_share, nonadditivity) from runs: junction, hour, run, value.
+
+    Runs are 'full', 'bulk_only', 'wall_only' and 'no_decay'; losses are mean logarithms of no_decay over each. Shares are
+    null where the total is under `least`.
+    """
+    c = F.col
+    cell = lambda r: F.log(F.greatest(F.max(F.when(c("run") == r, c("value"))), F.lit(floor)))
+    hours = runs.groupBy("junction", "hour").agg(*[(cell("no_decay") - cell(r)).alias(n) for r, n in (("full", "total"), ("bulk_only", "bulk"), ("wall_only", "wall"))])
+    m = hours.groupBy("junction").agg(*[F.avg(n).alias(n) for n in ("total", "bulk", "wall")])
+    some = lambda x: F.when(c("total") >= least, x)
+    return m.select("junction", "total", "bulk", "wall", some(c("bulk") / c("total")).alias("bulk_share"), some(1 - c("bulk") / c("total")).alias("wall_share"), some((c("bulk") + c("wall")) / c("total")).alias("nonadditivity"))
+
+
+def oracle_member(grid: DataFrame, truth: DataFrame, doses: list[float]) -> DataFrame:
+    """One row: the member and dose of the least root mean square error against the truth (hour, junction, value), and that error.
+
+    Per member only three moments are summed; ties go to the first member, then to the first dose.
+    """
+    c = F.col
+    hit = grid.join(truth, ["hour", "junction"]).select(F.posexplode("z").alias("member", "z"), "value")
+    m = hit.groupBy("member").agg(F.avg(F.exp(2 * c("z"))).alias("a"), F.avg(F.exp("z") * c("value")).alias("b"), F.avg(c("value") * c("value")).alias("t"))
+    d = m.select("member", "a", "b", "t", F.posexplode(F.array(*map(F.lit, doses))).alias("place", "dose"))
+    error = F.sqrt(F.greatest(c("dose") * c("dose") * c("a") - 2 * c("dose") * c("b") + c("t"), F.lit(0.0)))
+    best = d.withColumn("rmse", error).agg(F.min(F.struct("rmse", "member", "place", "dose")).alias("best"))
+    return best.select("best.member", "best.dose", "best.rmse")
+
+
+def hypothesis_weights(w: DataFrame, members: DataFrame, hypothesis: str, rate: str) -> DataFrame:
+    """(hypothesis, w, mean_rate): posterior of each hypothesis and its mean rate (null without weight)."""
+    j = w.join(members, "member").groupBy(hypothesis).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col(rate)).alias("_r"))
+    return j.select(hypothesis, "w", F.when(F.col("w") > 0, F.col("_r") / F.col("w")).alias("mean_rate"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import ratio, weighted_quantile
-from ..operators import audit, evaluation, selection
+from ..functions.stats import ratio
+from ..operators import audit, evaluation, ranks, selection
 from .readings import table
 
 
@@ -28,7 +28,7 @@ WITH p AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS truth, l_quantity
 LIMIT = 20000.0
 SUMS_SQL = f"""count(*) AS n, sum((pred - truth) ** 2) AS sse, sum(abs(pred - truth)) AS sae, count(*) FILTER (truth < {LIMIT} AND pred < {LIMIT}) AS tp,
  count(*) FILTER (truth >= {LIMIT} AND pred < {LIMIT}) AS fp, count(*) FILTER (truth < {LIMIT} AND pred >= {LIMIT}) AS fn, count(*) FILTER (truth BETWEEN low AND high) AS inside"""
-RATES_SQL = "round(sqrt(sse / n), 4) AS rmse, round(sae / n, 4) AS mae, round({d}tp / nullif(tp + fp, 0){e}, 6) AS precision, round({d}tp / nullif(tp + fn, 0){e}, 6) AS recall, round(inside / n, 6) AS coverage"
+RATES_SQL = "round(sqrt(sse / n), 2) AS rmse, round(sae / n, 2) AS mae, round({d}tp / nullif(tp + fp, 0){e}, 6) AS precision, round({d}tp / nullif(tp + fn, 0){e}, 6) AS recall, round(inside / n, 6) AS coverage"
 
 
 def sums(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def sums(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
 
 def with_rates(df: DataFrame, by: list[str], undefined: float | None) -> DataFrame:
     r = evaluation.rates(undefined)
-    places = {"rmse": 4, "mae": 4}
+    places = {"rmse": 2, "mae": 2}
     return df.select(*by, *[F.round(r[k], places.get(k, 6)).alias(k) for k in ("rmse", "mae", "precision", "recall", "coverage")])
 
 
@@ -75,12 +75,11 @@ A6_SQL = PRED + f", s AS (SELECT model, {SUMS_SQL} FROM p GROUP BY model) SELECT
 
 
 def a8_rollup_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    g = o.rollup("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
-    return g.select(F.coalesce("o_orderpriority", F.lit("all")).alias("priority"), F.coalesce("o_orderstatus", F.lit("all")).alias("status"), "n", "mean")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), "o_totalprice")
+    return evaluation.tree(o, ["priority", "status"], {"n": F.count(F.lit(1)), "mean": F.round(F.avg("o_totalprice"), 2)})
 
 
-A8_SQL = "SELECT coalesce(o_orderpriority, 'all') AS priority, coalesce(o_orderstatus, 'all') AS status, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)"
+A8_SQL = "SELECT coalesce(o_orderpriority, 'all') AS priority, coalesce(o_orderstatus, 'all') AS status, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)"
 
 
 def a10_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +91,8 @@ A10_SQL = PRED + "SELECT month, " + ", ".join(f"round(avg(abs(pred - truth)) FIL
 
 
 def a18_weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By nation, over suppliers: groups of bounded size."""
-    s = table(spark, sf_dir, "supplier")
-    return s.groupBy("s_nationkey").agg(weighted_quantile(F.col("s_acctbal"), F.lit(1.0) + F.col("s_suppkey") % 5, 0.5).alias("q50"))
+    s = table(spark, sf_dir, "supplier").withColumn("w", F.lit(1.0) + F.col("s_suppkey") % 5)
+    return ranks.weighted_quantiles(s, "s_acctbal", "w", ["s_nationkey"], [0.5]).withColumnRenamed("q_50", "q50")
 
 
 A18_SQL = """
@@ -104,11 +102,12 @@ SELECT s_nationkey, min(s_acctbal) FILTER (c / t >= 0.5 - 1e-12) AS q50 FROM (
 
 
 def a21_inlet_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind its median, rows and days, and its first five users by number."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(
-        F.round(F.median("value"), 6).alias("median"), F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.sort_array(F.collect_set("user_id")), 1, 5).cast("array<string>"), ",").alias("taps"),
-        F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"),
-    )
+    first = ranks.ranked(e.select("event_type", "user_id").distinct(), ["user_id"], ["event_type"]).where("rank <= 5")
+    taps = first.groupBy("event_type").agg(F.array_join(F.sort_array(F.collect_list("user_id")).cast("array<string>"), ",").alias("taps"))
+    sums = e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.count(F.lit(1)).alias("n"), F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"))
+    return sums.join(taps, "event_type")
 
 
 A21_SQL = """
@@ -151,20 +150,22 @@ A25_SQL = PRED + "SELECT model, round(median(sd), 4) AS sd FROM (SELECT model, s
 
 
 def a26_error_by_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors by rank decile of the account's balance, per segment."""
-    c = evaluation.rank_bins(table(spark, sf_dir, "customer"), "c_acctbal", "c_custkey", 10, ["c_mktsegment"])
-    return c.groupBy("c_mktsegment", "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
+    """Mean absolute error by model and rank decile of the truth, by model over all deciles, and over all."""
+    p = predictions(spark, sf_dir).withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    binned = evaluation.rank_bins(p, "truth", "line", 10, ["model"])
+    return evaluation.tree(binned, ["model", "bin"], {"n": F.count(F.lit(1)), "mae": F.round(F.avg(F.abs(F.col("pred") - F.col("truth"))), 2)})
 
 
-A26_SQL = """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
-SELECT c_mktsegment, CAST(greatest(1, ceil((r - 1) * 10 / greatest(n - 1, 1))) AS INTEGER) AS bin, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM r GROUP BY 1, 2
+A26_SQL = PRED + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY truth, l_orderkey * 10 + l_linenumber) AS r, count(*) OVER (PARTITION BY model) AS n FROM p)
+SELECT coalesce(model, 'all') AS model, coalesce(CAST(CAST(bin AS INTEGER) AS VARCHAR), 'all') AS bin, count(*) AS n, round(avg(abs(pred - truth)), 2) AS mae
+FROM (SELECT *, greatest(1, ceil((r - 1) * 10 / greatest(n - 1, 1))) AS bin FROM r) GROUP BY ROLLUP (model, bin)
 """
 
 
 def a31_daily_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "value", "event_id")
-    return e.groupBy("user_id", "day").agg(F.min("value").alias("least"), F.min_by("hour", F.struct("value", "hour", "event_id")).alias("hour"))
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "value")
+    return evaluation.daily_least(e, ["user_id", "day"], "hour", "value").withColumnRenamed("at", "hour")
 
 
 A31_SQL = "SELECT user_id, CAST(ts AS DATE) AS day, min(value) AS least, CAST(arg_min(hour(ts), (value, hour(ts), event_id)) AS INTEGER) AS hour FROM events GROUP BY 1, 2"
@@ -224,22 +225,23 @@ SELECT doc_id, CAST(place AS INTEGER) AS place, token, h.v IS NOT NULL AS found
 
 
 def u4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.coverage(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").where("doc_id % 2 = 0"), "doc_id").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return audit.coverage(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(-F.col("doc_id")).alias("doc_id")), "doc_id").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 U4_SQL = """
 SELECT CASE WHEN d.doc_id IS NULL THEN 'declared only' WHEN l.doc_id IS NULL THEN 'found only' ELSE 'both' END AS status, count(*) AS n
-FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0) d ON l.doc_id = d.doc_id GROUP BY 1
+FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE -doc_id END AS doc_id FROM documents) d ON l.doc_id = d.doc_id GROUP BY 1
 """
 
 
 def u9_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority")
-    return audit.differences(o.where("o_custkey % 3 != 0"), o.where("o_custkey % 5 != 0")).groupBy("side", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    again = o.withColumn("o_custkey", F.when(F.col("o_custkey") % 5 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")))
+    return audit.differences(o, again).groupBy("side", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
 U9_SQL = """
-WITH a AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_custkey % 3 != 0), b AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_custkey % 5 != 0)
+WITH a AS (SELECT o_custkey, o_orderpriority FROM orders), b AS (SELECT CASE WHEN o_custkey % 5 = 0 THEN -o_custkey ELSE o_custkey END AS o_custkey, o_orderpriority FROM orders)
 SELECT 'left' AS side, o_orderpriority, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY 2 UNION ALL SELECT 'right', o_orderpriority, count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY 2
 """
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chemistry, parsing
-from ..operators import audit, evaluation, holdout, network
+from ..operators import audit, evaluation, holdout, network, ranks
 from . import models
 from .evaluations import PRED, predictions
 from .models import LINKS_SQL
@@ -54,26 +54,24 @@ J6_SQL = "SELECT o_custkey AS c_custkey, count(*) AS n FROM orders WHERE o_custk
 
 def j12_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models' mean errors side by side for each month."""
-    p = predictions(spark, sf_dir).groupBy("model", "month").agg(F.avg(F.abs(F.col("pred") - F.col("truth"))).alias("mae"))
-    side = lambda m: p.where(F.col("model") == m).select("month", F.round("mae", 4).alias(f"mae_{m.lower()}"))
-    return side("A").join(side("N"), "month", "full_outer")
+    p = predictions(spark, sf_dir).groupBy("model", "month").agg(F.round(F.avg(F.abs(F.col("pred") - F.col("truth"))), 2).alias("mae"))
+    return evaluation.paired(p, ["month"], "model", ("A", "N"), "mae").withColumnsRenamed({"mae_A": "mae_a", "mae_N": "mae_n"})
 
 
-J12_SQL = PRED + ", m AS (SELECT model, month, round(avg(abs(pred - truth)), 4) AS mae FROM p GROUP BY 1, 2) SELECT coalesce(a.month, n.month) AS month, a.mae AS mae_a, n.mae AS mae_n FROM (SELECT * FROM m WHERE model = 'A') a FULL JOIN (SELECT * FROM m WHERE model = 'N') n ON a.month = n.month"
+J12_SQL = PRED + ", m AS (SELECT model, month, round(avg(abs(pred - truth)), 2) AS mae FROM p GROUP BY 1, 2) SELECT coalesce(a.month, n.month) AS month, a.mae AS mae_a, n.mae AS mae_n FROM (SELECT * FROM m WHERE model = 'A') a FULL JOIN (SELECT * FROM m WHERE model = 'N') n ON a.month = n.month"
 
 
 def j14_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order totals against the sum of their lines, null-safe, those only on one side included."""
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.round(F.sum("l_extendedprice"), 2).alias("lines"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 != 3").select(F.col("o_orderkey").alias("key"), F.round("o_totalprice", 2).alias("stated"))
-    j = o.join(li, "key", "full_outer")
-    status = F.when(F.col("stated").isNull(), "lines only").when(F.col("lines").isNull(), "stated only").when(F.abs(F.col("stated") - F.col("lines")) <= 0.01 * F.col("stated"), "same").otherwise("differs")
-    return j.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """Order totals against the sum of their lines; every tenth order goes by another number."""
+    key = F.when(F.col("o_orderkey") % 10 == 3, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("key")
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    o = table(spark, sf_dir, "orders").select(key, F.round("o_totalprice", 2).alias("total"))
+    return evaluation.recomputed(o, li, "key", "total", 0.01).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 J14_SQL = """
-WITH l AS (SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS lines FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS k, round(o_totalprice, 2) AS stated FROM orders WHERE o_orderkey % 10 != 3)
-SELECT CASE WHEN stated IS NULL THEN 'lines only' WHEN lines IS NULL THEN 'stated only' WHEN abs(stated - lines) <= 0.01 * stated THEN 'same' ELSE 'differs' END AS status, count(*) AS n FROM o FULL JOIN l ON o.k = l.k GROUP BY 1
+WITH l AS (SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS lines FROM lineitem GROUP BY 1), o AS (SELECT CASE WHEN o_orderkey % 10 = 3 THEN -o_orderkey ELSE o_orderkey END AS k, round(o_totalprice, 2) AS stated FROM orders)
+SELECT CASE WHEN stated IS NULL THEN 'computed only' WHEN lines IS NULL THEN 'stated only' WHEN abs(stated - lines) <= 0.01 * stated THEN 'same' ELSE 'differs' END AS status, count(*) AS n FROM o FULL JOIN l ON o.k = l.k GROUP BY 1
 """
 
 
@@ -100,10 +98,14 @@ SELECT nation, rank, count(*) AS n, min(id) AS first FROM a WHERE rank = (SELECT
 
 
 def directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.edges(spark, sf_dir).where("b % 4 != 1").select("a", "b").union(models.edges(spark, sf_dir).where("b % 3 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """All links: against their order where b is one over a multiple of 4, and both ways where it is a multiple of 3."""
+    e, turned = models.edges(spark, sf_dir).select("a", "b"), F.col("b") % 4 == 1
+    ends = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    ways = F.array_compact(F.array(F.when(~turned | (F.col("b") % 3 == 0), ends("a", "b")), F.when(turned | (F.col("b") % 3 == 0), ends("b", "a"))))
+    return e.select(F.inline(ways))
 
 
-REACH_SQL = f"WITH RECURSIVE {LINKS_SQL}, f AS (SELECT a, b FROM e WHERE b % 4 != 1 UNION ALL SELECT b, a FROM e WHERE b % 3 = 0), r AS (SELECT 0::BIGINT AS node UNION SELECT f.b FROM r JOIN f ON r.node = f.a)"
+REACH_SQL = f"WITH RECURSIVE {LINKS_SQL}, f AS (SELECT a, b FROM e WHERE b % 4 != 1 OR b % 3 = 0 UNION ALL SELECT b, a FROM e WHERE b % 4 = 1 OR b % 3 = 0), r AS (SELECT 0::BIGINT AS node UNION SELECT f.b FROM r JOIN f ON r.node = f.a)"
 
 
 def g10_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +126,7 @@ A3_SQL = PRED + "SELECT model, " + ", ".join(f"round(avg(CASE WHEN abs(truth - p
 def a7_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums that are null where all parts are null, sizes and first values by several keys."""
     li = table(spark, sf_dir, "lineitem").withColumn("maybe", F.when(F.col("l_discount") > 0.05, F.col("l_quantity")))
-    return li.groupBy("l_orderkey", "l_returnflag").agg(F.sum("maybe").alias("total"), F.count(F.lit(1)).alias("size"), F.min_by("l_linestatus", F.struct("l_linenumber", "l_linestatus")).alias("first"))
+    return evaluation.compact(li, ["l_orderkey", "l_returnflag"], "maybe", "l_linestatus", ["l_linenumber"])
 
 
 A7_SQL = "SELECT l_orderkey, l_returnflag, sum(CASE WHEN l_discount > 0.05 THEN l_quantity END) AS total, count(*) AS size, arg_min(l_linestatus, (l_linenumber, l_linestatus)) AS first FROM lineitem GROUP BY 1, 2"
@@ -155,18 +157,21 @@ A30_SQL = "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTIN
 
 def a35_share_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy("user_id", F.hour("ts").alias("hour")).agg(F.min("value").alias("least"))
-    return e.groupBy("hour").agg(F.round(F.avg((F.col("least") < 10).cast("int")), 8).alias("share"))
+    return evaluation.share_below(e, ["hour"], "least", 10).select("hour", F.round("share", 8).alias("share"))
 
 
 A35_SQL = "SELECT CAST(hour AS INTEGER) AS hour, round(avg(CASE WHEN least < 10 THEN 1 ELSE 0 END), 8) AS share FROM (SELECT user_id, hour(ts) AS hour, min(value) AS least FROM events GROUP BY 1, 2) GROUP BY 1"
 
 
 def a36_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hour = F.hour("ts")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg((F.median("value") > 50).alias("high_median"), (F.count_if((hour < 6) | (hour >= 18)) * 2 > F.count(F.lit(1))).alias("mostly_at_night"), F.count_if(F.col("value") > 90).alias("over"))
+    """The upper median of an even number of readings decides."""
+    hour, e = F.hour("ts"), table(spark, sf_dir, "events")
+    middle = ranks.upper_medians(e.where("value is not null"), "value", "event_id", ["event_type"])
+    sums = e.groupBy("event_type").agg((F.count_if((hour < 6) | (hour >= 18)) * 2 > F.count(F.lit(1))).alias("mostly_at_night"), F.count_if(F.col("value") > 90).alias("over"))
+    return sums.join(middle, "event_type", "left").select("event_type", (F.col("upper_median") > 50).alias("high_median"), "mostly_at_night", "over")
 
 
-A36_SQL = "SELECT event_type, median(value) > 50 AS high_median, count(*) FILTER (hour(ts) < 6 OR hour(ts) >= 18) * 2 > count(*) AS mostly_at_night, count(*) FILTER (value > 90) AS over FROM events GROUP BY 1"
+A36_SQL = "SELECT event_type, list_sort(list(value) FILTER (value IS NOT NULL))[CAST(floor(count(value) / 2) AS INT) + 1] > 50 AS high_median, count(*) FILTER (hour(ts) < 6 OR hour(ts) >= 18) * 2 > count(*) AS mostly_at_night, count(*) FILTER (value > 90) AS over FROM events GROUP BY 1"
 
 
 def w5_last_months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +191,7 @@ W9_SQL = "SELECT c_nationkey, c_custkey, CAST(r AS INTEGER) AS rank FROM (SELECT
 
 
 def w11_ratio_to_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = holdout.ratio_to_max(F.col("c_acctbal"), Window.partitionBy("c_mktsegment"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(r, 8).alias("ratio"))
+    return holdout.ratio_to_max(table(spark, sf_dir, "customer"), "c_acctbal", ["c_mktsegment"]).select("c_custkey", F.round("ratio", 8).alias("ratio"))
 
 
 W11_SQL = "SELECT c_custkey, round(c_acctbal / nullif(max(c_acctbal) OVER (PARTITION BY c_mktsegment), 0), 8) AS ratio FROM customer"

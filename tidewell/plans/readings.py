@@ -63,7 +63,7 @@ def r13_clean_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R13_SQL = """
-WITH s AS (SELECT c_custkey, c_name || ' ; ' || c_mktsegment || ' main street' AS whole, regexp_replace(regexp_replace(regexp_replace(c_name || ' ; ' || c_mktsegment || ' main street', '[^A-Za-z0-9_.-]+', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS safe FROM customer)
+WITH s AS (SELECT c_custkey, c_name || ' ; ' || c_mktsegment || ' main street' AS whole, regexp_replace(regexp_replace(regexp_replace(c_name || ' ; ' || c_mktsegment || ' main street', '[^A-Za-z0-9_.:+/#@-]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS safe FROM customer)
 SELECT c_custkey, CASE WHEN strlen(safe) <= 31 THEN safe ELSE substr(safe, 1, 22) || '_' || substr(sha1(whole), 1, 8) END AS id FROM s
 """
 
@@ -101,12 +101,13 @@ R15_SQL = "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM or
 def j1_map_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings meet their sites by exact key, else by number; the rest is dropped with a reason."""
     readings = table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, F.lpad(F.col("user_id").cast("string"), 8, "0")).otherwise(F.col("user_id").cast("string")).alias("tap"))
-    sites = table(spark, sf_dir, "customer").where("c_custkey % 4 != 0").select(F.col("c_custkey").cast("string").alias("tap_id"), F.col("c_nationkey").alias("junction"))
+    tap = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("X"), "c_custkey")).otherwise(F.col("c_custkey").cast("string"))
+    sites = table(spark, sf_dir, "customer").select(tap.alias("tap_id"), F.col("c_nationkey").alias("junction"))
     return matching.map_readings(readings, sites, "tap", "tap_id", "junction").groupBy("disposition", "reason", "site").agg(F.count(F.lit(1)).alias("n"))
 
 
 J1_SQL = """
-WITH r AS (SELECT event_id, user_id FROM events), s AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 4 != 0)
+WITH r AS (SELECT event_id, user_id FROM events), s AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey END AS c_custkey, c_nationkey FROM customer)
 SELECT CASE WHEN c_custkey IS NULL THEN 'dropped' ELSE 'used' END AS disposition, CASE WHEN c_custkey IS NULL THEN 'unknown key' END AS reason, c_nationkey AS site, count(*) AS n
 FROM r LEFT JOIN s ON user_id = c_custkey GROUP BY 1, 2, 3
 """
@@ -143,10 +144,10 @@ SELECT user_id, day, event_id, value FROM (
 def j10_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("a"))
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("b"))
-    return matching.within_tolerance(s, c, "a", "b", 0.5).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first"))
+    return matching.within_tolerance(s, c, "a", "b", 25.0).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first"))
 
 
-J10_SQL = "SELECT s_suppkey, count(*) AS n, min(c_custkey) AS first FROM supplier JOIN customer ON abs(s_acctbal - c_acctbal) <= 0.5 GROUP BY s_suppkey"
+J10_SQL = "SELECT s_suppkey, count(*) AS n, min(c_custkey) AS first FROM supplier JOIN customer ON abs(s_acctbal - c_acctbal) <= 25.0 GROUP BY s_suppkey"
 
 
 def j11_trailing_months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,12 +189,13 @@ SELECT site, count(*) FILTER (n >= 12 AND typical <= 30) >= 2 OR count(*) FILTER
 
 
 def w4_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.islands(table(spark, sf_dir, "events").where("value > 50"), "event_id", ["event_type"])
+    e = table(spark, sf_dir, "events").withColumn("high", F.col("value") > 50)
+    return series.islands(e, "event_id", ["event_type", "high"])
 
 
 W4_SQL = """
-SELECT event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (
-  SELECT event_type, event_id, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events WHERE value > 50) GROUP BY event_type, i
+SELECT event_type, high, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (
+  SELECT event_type, value > 50 AS high, event_id, event_id - row_number() OVER (PARTITION BY event_type, value > 50 ORDER BY event_id) AS i FROM events) GROUP BY event_type, high, i
 """
 
 

@@ -10,14 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written to the folder in spark.checkpoint.dir, which all executors share.
 
-    A folder of this machine is set only where the session names none (local runs and tests).
+    A folder of this machine is set only where a local session names none (tests).
     """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/tidewell-checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/tidewell-checkpoints"
+    return root
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benches on one machine; a cluster's own settings aren't touched."""
     return (
