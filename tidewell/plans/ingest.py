@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import files, model_text, tables
 from ..streaming import readings as streams
 from .readings import table
@@ -24,14 +25,14 @@ SELECT page_id, CASE WHEN html = '' THEN 'empty' WHEN regexp_matches(html, '^\s*
 
 
 def sc2_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = table(spark, sf_dir, "documents")
     raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16LE"))
-    return d.select("doc_id", files.decode_text(raw).alias("d"), "text").select("doc_id", (F.col("d.text") == F.col("text")).alias("same"))
+    return d.select("doc_id", files.decode_text(raw).alias("d"), "text").select("doc_id", F.col("d.text").eqNullSafe(F.col("text")).alias("same"))
 
 
 def sc7_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model file per nation, written from its suppliers, then scanned by section."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 5 != 0")
+    s = table(spark, sf_dir, "supplier")
     line = F.concat_ws(" ", F.lit(""), F.when(F.col("s_suppkey") % 3 == 0, "Pump").otherwise("P"), F.lit(""), F.col("s_suppkey").cast("string"), F.lit("; note"))
     body = s.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
     f = body.select(F.col("s_nationkey").alias("file"), F.concat(F.lit("[TITLE]\nmodel\n\n[PIPES]\n;ID\n"), "body", F.lit("\n[END]")).alias("text"))
@@ -40,8 +41,8 @@ def sc7_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SC7_SQL = """
-SELECT s_nationkey AS file, 'PIPES' AS section, count(*) AS n, count(*) FILTER (s_suppkey % 3 = 0) AS pumps FROM supplier WHERE s_suppkey % 5 != 0 GROUP BY s_nationkey
-UNION ALL SELECT DISTINCT s_nationkey, 'TITLE', 1, 0 FROM supplier WHERE s_suppkey % 5 != 0
+SELECT s_nationkey AS file, 'PIPES' AS section, count(*) AS n, count(*) FILTER (s_suppkey % 3 = 0) AS pumps FROM supplier GROUP BY s_nationkey
+UNION ALL SELECT DISTINCT s_nationkey, 'TITLE', 1, 0 FROM supplier
 """
 
 
@@ -88,14 +89,13 @@ J23_SQL = "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT
 
 def stream_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """Events as a stream, and a checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidewell-checkpoints"
     schema = table(spark, sf_dir, "events").schema
-    return streams.replay(spark, f"{sf_dir}/events.parquet*", schema), f"{root}/stream-{uuid.uuid4().hex}"
+    return streams.replay(spark, f"{sf_dir}/events.parquet*", schema), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def st1_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, at = stream_of(spark, sf_dir)
-    out = streams.run_once(streams.daily(stream, "event_type", "value"), f"daily_{uuid.uuid4().hex}", at)
+    out = streams.run_once(streams.daily(stream, "event_type", "value"), at)
     return out.select(F.to_date("day").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -104,7 +104,7 @@ ST1_SQL = "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(
 
 def st2_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, at = stream_of(spark, sf_dir)
-    out = streams.run_once(streams.bursts(stream, "user_id"), f"bursts_{uuid.uuid4().hex}", at)
+    out = streams.run_once(streams.bursts(stream, "user_id"), at)
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("bursts"), F.sum("n").alias("n"), F.max("n").alias("largest"))
 
 
@@ -118,12 +118,12 @@ SELECT user_id, count(*) AS bursts, CAST(sum(n) AS BIGINT) AS n, max(n) AS large
 def st3_analyzers(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, at = stream_of(spark, sf_dir)
     keyed = stream.withColumn("site", F.col("user_id") % 5)
-    return streams.run_once(streams.analyzers(keyed, "site"), f"analyzers_{uuid.uuid4().hex}", at, "append").select("site")
+    return streams.run_once(streams.analyzers(keyed, "site"), at, "append").select("site")
 
 
 ST3_SQL = "SELECT site FROM (SELECT user_id % 5 AS site, CAST(ts AS DATE) AS day FROM events GROUP BY 1, 2 HAVING count(*) >= 12) GROUP BY site HAVING count(*) >= 2"
 
 QUERIES = {
-    "sc1_sniff": (sc1_sniff, SC1_SQL), "sc2_decode": (sc2_decode, "SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL"), "sc7_sections": (sc7_sections, SC7_SQL), "sc12_geojson": (sc12_geojson, SC12_SQL),
+    "sc1_sniff": (sc1_sniff, SC1_SQL), "sc2_decode": (sc2_decode, "SELECT doc_id, true AS same FROM documents"), "sc7_sections": (sc7_sections, SC7_SQL), "sc12_geojson": (sc12_geojson, SC12_SQL),
     "r3_dates": (r3_dates, R3_SQL), "x16_strip_tags": (x16_strip_tags, X16_SQL), "j23_json_paths": (j23_json_paths, J23_SQL), "st1_daily": (st1_daily, ST1_SQL), "st2_bursts": (st2_bursts, ST2_SQL), "st3_analyzers": (st3_analyzers, ST3_SQL),
 }

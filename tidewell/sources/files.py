@@ -19,10 +19,9 @@ MAGIC = {
 
 
 def kind_of(content: Column) -> Column:
-    """Kind of a file's bytes by its first ones; text kinds by their first words. JVM only."""
+    """Kind of a file's bytes by its first ones; text kinds by their words. JVM only."""
     out = F.lit("other")
-    head = F.substring(content, 1, 4096)
-    text = F.decode(head, "ISO-8859-1")
+    text = F.decode(content, "ISO-8859-1")
     words = {
         "xml": r"^\s*(?:\xEF\xBB\xBF)?<\?xml", "html": r"(?i)^\s*<(?:!doctype html|html|head|body|div)", "geojson": r'^\s*\{[^\[]*"type"\s*:\s*"(?:FeatureCollection|Feature|Point|LineString|Polygon)"',
         "model": r"(?im)^\s*\[(?:TITLE|JUNCTIONS|PIPES|RESERVOIRS|OPTIONS)\]", "json": r"^\s*[\{\[]", "dxf": r"^\s*0\s*\r?\n\s*SECTION", "table": r"^[^\n]*[,;\t|][^\n]*\n",

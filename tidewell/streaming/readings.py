@@ -32,35 +32,52 @@ def bursts(stream: DataFrame, key: str, gap: str = "30 minutes", delay: str = "1
     return s.agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 
 
-def analyzers(stream: DataFrame, key: str, per_day: int = 12, days: int = 2) -> DataFrame:
-    """(key, day): sent once, when a key has had per_day readings on its `days`-th day. State: counts of days not yet full."""
+def analyzers(stream: DataFrame, key: str, per_day: int = 12, days: int = 2, delay: str = "60 days") -> DataFrame:
+    """(key, day): sent once, when a key has had per_day readings on its `days`-th day.
+
+    State: the counts of the days from `delay` before the watermark on; earlier days are closed, and rows of them no longer
+    count. How many closed days were full stays known.
+    """
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         full, counts, done = state.get if state.exists else (0, "", False)
-        open_ = dict((d, int(n)) for d, n in (x.split("=") for x in counts.split(";") if x))
+        closed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms").strftime("%Y-%m-%d") if state.getCurrentWatermarkMs() > 0 else ""
+        open_ = {d: int(n) for d, n in (x.split("=") for x in counts.split(";") if x) if d >= closed}
         sent = None
         for frame in frames:
             for day, n in frame.groupby(frame["ts"].dt.strftime("%Y-%m-%d")).size().items():
-                if done or open_.get(day, 0) >= per_day:
+                if done or day < closed or open_.get(day, 0) >= per_day:
                     continue
                 open_[day] = open_.get(day, 0) + int(n)
                 if open_[day] >= per_day:
                     full += 1
                     if full >= days:
                         done, sent = True, day
-        state.update((full, ";".join(f"{d}={n}" for d, n in sorted(open_.items())[-400:]), done))
+        state.update((full, ";".join(f"{d}={n}" for d, n in sorted(open_.items())), done))
         if sent:
             yield pd.DataFrame({key: [group[0]], "day": [sent]})
 
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, day string", "full int, counts string, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, day string", "full int, counts string, done boolean", "append", GroupStateTimeout.NoTimeout)
+
 
+def run_once(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all that is there into Parquet files under `path` and reads the result; checkpoints lie beside it.
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there into a table in memory; for tests and small replays."""
+    complete: each batch replaces what the last one wrote; append: batches add to it. Nothing passes the driver.
+    """
     spark = stream.sparkSession
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        at = f"{path}/rows/batch={number}"
+        batch.write.mode("overwrite").parquet(at)
+        spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("overwrite").parquet(f"{path}/latest")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == spark.read.parquet(f"{path}/latest").first()["number"])
+    return rows.drop("batch")
 
 
 def upsert_latest(stream: DataFrame, key: str, path: str, checkpoint: str):
