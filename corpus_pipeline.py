@@ -8,7 +8,7 @@ from tidewell.llm import bpe, decontaminate, exact_dedup, near, quality, queries
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose chance of the best grade is under a half: poor ones and toxic ones."""
+    """Drops documents whose chance of the best grade is less than that of a document nothing is known of: poor ones and toxic ones."""
     model = quality.train(docs, quality.grades_of(queries.table(spark, sf_dir, "labels")))
     return quality.drop_poor(docs, model)
 

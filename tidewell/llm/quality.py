@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import texts
+from .shared import keep
 
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -61,24 +62,24 @@ class OrdinalModel:
 
 def telling(rows: list[tuple[np.ndarray, int]], grades: int, bits: int) -> np.ndarray:
     """Of each slot, how many standard deviations its count in some grade lies off what that grade's share of all rows gives."""
-    slot = np.concatenate([x for x, _ in rows])
-    of_grade = [np.bincount(np.concatenate([x for x, g in rows if g == grade] or [slot[:0]]), minlength=1 << bits) for grade in range(grades)]
-    n = sum(of_grade)
-    most = np.zeros(1 << bits)
-    for own, share in zip(of_grade, np.bincount([g for _, g in rows], minlength=grades) / len(rows), strict=True):
+    counts = np.zeros((grades, 1 << bits))
+    for x, g in rows:
+        counts[g, x] += 1  # a row's slots are distinct
+    n, most = counts.sum(axis=0), np.zeros(1 << bits)
+    for own, share in zip(counts, np.bincount([g for _, g in rows], minlength=grades) / len(rows), strict=True):
         most = np.maximum(most, np.abs(own - n * share) / np.sqrt(n * share * (1 - share) + 1))
     return most
 
 
-def fit(rows: list[tuple[np.ndarray, int]], grades: int, bits: int, rounds: int = 200, decay: float = 1e-5) -> OrdinalModel:
-    """Adagrad over all rows at once; cuts stay in order as a first cut and positive gaps. Each grade weighs the same.
+def fit(rows: list[tuple[np.ndarray, int]], grades: int, bits: int, z: np.ndarray | None = None, rounds: int = 200, decay: float = 1e-5) -> OrdinalModel:
+    """rows: distinct slots, and the grade. z: of each slot, as telling() gives it; then rows need no slots with less than LEAST. Adagrad over all rows at once; cuts stay in order as a first cut and positive gaps. Each grade weighs the same.
 
     A slot z standard deviations off chance counts (z^2 / (z^2 + HALF^2))^2, so that what few rows say moves a score little;
     the model's weights have that in them. Without rows all weights are zero, and every document gets the same grade.
     """
     w, base, gaps, value = np.zeros(1 << bits), -1.0, np.full(max(grades - 2, 0), 0.5), np.zeros(1 << bits)
     if rows:
-        z = telling(rows, grades, bits)
+        z = telling(rows, grades, bits) if z is None else z
         value = np.where(z >= LEAST, (z * z / (z * z + HALF * HALF)) ** 2, 0.0)
         told = value > 0
         told[0] = True  # so that no row is without a slot
@@ -117,7 +118,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 20
     """Fit on at most about `sample` rated documents: those whose id hashes lowest. ratings: id_col, grade_col (0 is worst).
 
     Null grades, or grades out of range, are left out; an id rated more than once takes its lowest grade; ids without a
-    document don't count. Features of the sample only reach the driver.
+    document don't count. Of the sample's features only those that tell grades apart reach the driver.
     """
     rated = ratings.where(F.col(grade_col).between(0, grades - 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(grade_col).cast("int").alias("__grade"))
     n = rated.count()
@@ -126,16 +127,37 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(t, bits).tobytes() for t in texts(batch.column(0))], pa.binary())], names=["grade", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(t, bits) for t in texts(batch.column(0))], pa.list_(pa.int32()))], names=["grade", "slots"])
 
     joined = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(rated), id_col).select("__text", "__grade")
-    rows = sorted((bytes(r["slots"]), r["grade"]) for r in joined.mapInArrow(run, "grade int, slots binary").collect())
-    return fit([(np.frombuffer(s, np.int32), g) for s, g in rows], grades, bits)
+    found = keep(joined.mapInArrow(run, "grade int, slots array<int>"), "rated-features")
+    # Spark finds the telling slots; only they, and their places in the sample's rows, come to the driver.
+    shares = np.zeros(grades)
+    for r in found.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect():
+        shares[r["grade"]] = r["n"]
+    shares /= max(shares.sum(), 1)
+    counts = found.select("grade", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("grade") == g).alias(f"n{g}") for g in range(grades)])
+    off = [F.abs(F.col(f"n{g}") - F.col("n") * float(s)) / F.sqrt(F.col("n") * float(s * (1 - s)) + 1) for g, s in enumerate(shares)]
+    z = np.zeros(1 << bits)
+    for r in counts.select("slot", F.greatest(*off).alias("z")).where(F.col("z") >= LEAST).collect():
+        z[r["slot"]] = r["z"]
+    told = docs.sparkSession.sparkContext.broadcast(z >= LEAST)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [np.array(x, np.int32) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[told.value[x]].tobytes() for x in slots], pa.binary())], names=["grade", "slots"])
+
+    rows = sorted((bytes(r["slots"]), r["grade"]) for r in found.mapInArrow(pick, "grade int, slots binary").collect())
+    return fit([(np.frombuffer(s, np.int32), g) for s, g in rows], grades, bits, z)
 
 
-def rate(docs: DataFrame, model: OrdinalModel, keep_from: int = 2, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rate(docs: DataFrame, model: OrdinalModel, keep_from: int = 2, least: float = 1 / 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_features, score, expected_grade, p_tail = P(grade >= keep_from), kept = p_tail >= least.
 
+    As grades weigh the same in the fit, a document that nothing speaks for or against has a p_tail of about one over the grades,
+    which is the default of `least`: what is rejected has something against it.
+
     Null texts count as empty and are rated like any other. Repeated rows come back repeated. An empty table gives no rows.
     """
     return rated(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")), model, keep_from, least)
@@ -159,7 +181,7 @@ def rated(rows: DataFrame, model: OrdinalModel, keep_from: int, least: float) ->
     return rows.mapInArrow(run, f"`{first.name}` {first.dataType.simpleString()}, n_features long, score double, expected_grade double, p_tail double, kept boolean")
 
 
-def drop_poor(docs: DataFrame, model: OrdinalModel, keep_from: int = 2, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def drop_poor(docs: DataFrame, model: OrdinalModel, keep_from: int = 2, least: float = 1 / 3, text_col: str = "text") -> DataFrame:
     """The rows of docs that rate() keeps, with all their columns under any name."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     return rated(rows, model, keep_from, least).where("kept").select("row.*")
