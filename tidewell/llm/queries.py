@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lm, oracles, pii, quality, sentences, simhash, substrings, urls
-
+from . import bpe, decontaminate, exact_dedup, lm, oracles, pii, quality, sentences, simhash, spelling, substrings, urls
 
 
 def tokenizer_path() -> str:
@@ -92,8 +91,12 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), least_letters=5, least_count=3, times=2, drop_every=97)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii_surrogates, op2_suffix_array, op3_url_filter, op4_bpe, op5_simhash, op6_exact_dedup, op7_sentence_spans, op8_quality, op9_decontaminate, op10_context_mixing]
+    found = [op1_pii_surrogates, op2_suffix_array, op3_url_filter, op4_bpe, op5_simhash, op6_exact_dedup, op7_sentence_spans, op8_quality, op9_decontaminate, op10_context_mixing, op11_spelling_variants]
     return {f.__name__: f for f in found}
 
 
