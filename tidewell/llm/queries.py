@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lm, oracles, pii, quality, sentences, simhash, spelling, substrings, urls
+from . import bpe, decontaminate, exact_dedup, lm, oracles, periods, pii, quality, sentences, simhash, spelling, substrings, urls
 
 
 def tokenizer_path() -> str:
@@ -95,8 +95,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), least_letters=5, least_count=3, times=2, drop_every=97)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), least=6, times=4, tails_every=10)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.length div -best.p").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii_surrogates, op2_suffix_array, op3_url_filter, op4_bpe, op5_simhash, op6_exact_dedup, op7_sentence_spans, op8_quality, op9_decontaminate, op10_context_mixing, op11_spelling_variants]
+    found = [op1_pii_surrogates, op2_suffix_array, op3_url_filter, op4_bpe, op5_simhash, op6_exact_dedup, op7_sentence_spans, op8_quality, op9_decontaminate, op10_context_mixing, op11_spelling_variants, op12_periodic_runs]
     return {f.__name__: f for f in found}
 
 
