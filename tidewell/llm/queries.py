@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lm, oracles, periods, pii, quality, sentences, simhash, spelling, substrings, urls
+from . import bpe, decontaminate, exact_dedup, lm, neighbours, oracles, periods, pii, quality, sentences, simhash, spelling, substrings, urls
 
 
 def tokenizer_path() -> str:
@@ -105,10 +105,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii_surrogates, op2_suffix_array, op3_url_filter, op4_bpe, op5_simhash, op6_exact_dedup, op7_sentence_spans, op8_quality, op9_decontaminate, op10_context_mixing, op11_spelling_variants, op12_periodic_runs]
+    found = [op1_pii_surrogates, op2_suffix_array, op3_url_filter, op4_bpe, op5_simhash, op6_exact_dedup, op7_sentence_spans, op8_quality, op9_decontaminate, op10_context_mixing, op11_spelling_variants, op12_periodic_runs, op13_nearest_vectors]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array": oracles.OP2, "op3_url_filter": OP3_SQL, "op6_exact_dedup": oracles.OP6, "op7_sentence_spans": oracles.OP7, "op9_decontaminate": oracles.OP9}
+    return {"op2_suffix_array": oracles.OP2, "op3_url_filter": OP3_SQL, "op6_exact_dedup": oracles.OP6, "op7_sentence_spans": oracles.OP7, "op9_decontaminate": oracles.OP9, "op13_nearest_vectors": oracles.OP13}
