@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from math import log10
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -199,6 +200,25 @@ def test_substrings(spark, group_rows):
     assert got == brute_repeats(docs, 60)
 
 
+@pytest.mark.parametrize("group_rows", [20_000, 1])
+def test_strings_with_one_name_stay_apart(spark, group_rows):
+    """Pairs of 100 bytes that differ and have one 64-bit polynomial name; nothing of them is repeated but within the last text."""
+    spelt = lambda bits: "a head of 20 letters" + "".join("De" if bits >> i & 1 else "eD" for i in range(40))
+    one, two, three, four = (spelt(b) for b in (573860012226, 634330980969, 952870831626, 1020228348137))
+    names = [substrings.name_strings(np.frombuffer(t.encode(), np.uint8), 100, {})[0] for t in (one, two, three, four)]
+    assert names[0] == names[1] and names[2] == names[3] and one != two and three != four
+    docs = [(1, one), (2, two), (3, "x" + three + "y"), (4, "z" + four + "w"), (5, "x" + three + "y"), (6, one + " and " + two), (7, four + four)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(frame(spark, docs), 100, 20, group_rows=group_rows).collect()}
+    assert got == brute_repeats(docs, 100) and got[2][1] == got[4][1] == 0 and got[5][1] == 102
+
+
+def test_equal_names_are_told_apart_by_bytes():
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    at = np.array([0, 3, 6, 1])
+    group = substrings.same_strings(data, at, np.array([5, 5, 5, 9]), 3)
+    assert group[0] == group[2] and len({group[0], group[1], group[3]}) == 3
+
+
 def test_sentences(spark):
     docs = texts(8)
     first, want = {}, {}

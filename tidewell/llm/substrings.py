@@ -6,8 +6,11 @@ windows have the same anchor at the same place, so no match is lost.
 
 Round 1 ranks anchors by their first k bytes; those that are unique leave. Round 2 pairs that rank with the rank of the whole
 stretch that the anchor's windows span; later copies of a stretch are decided. Round 3 ranks the `length`-byte strings
-themselves, only where an anchor's stretches differ. Names of byte strings are 64-bit polynomial hashes, doubled from single
-bytes inside the task; each round's aggregation has map-side minima, so a string with millions of copies costs a row per task.
+themselves, only where an anchor's stretches differ. Each round's aggregation has map-side minima, so a string with millions
+of copies costs a row per task.
+
+Names that decide are 128-bit BLAKE2b digests, or are compared byte by byte where they meet. Names that only bring rows
+together (starts, windows before their bytes are compared) are 64-bit polynomials, doubled from single bytes inside the task.
 """
 
 from __future__ import annotations
@@ -70,7 +73,8 @@ class Anchors:
         n = len(self.windows)
         empty = np.zeros(0, np.int64)
         self.row = self.at = self.first = self.last = empty
-        self.kname = self.stretch = empty.astype(np.uint64)
+        self.data = data
+        self.kname, self.stretch = empty.astype(np.uint64), np.zeros((0, 2), np.uint64)
         if not n:
             return
         # The least k-byte string of each window: its hash, then its place, in one number (a slice is far under 2^26 bytes
@@ -96,13 +100,27 @@ class Anchors:
         self.at = self.first + ((low.astype(np.int64) - self.first) & ((1 << 26) - 1))
         self.row = np.searchsorted(self.offsets, self.first, "right") - 1
         self.kname = short[self.at]
-        with np.errstate(over="ignore"):
-            reach = (self.last - self.first).astype(np.uint64) * np.uint64(1 << 32) + (self.at - self.first).astype(np.uint64)
-            self.stretch = mix(mix(self.windows[self.first]) + np.uint64(3) * self.windows[self.last] + mix(reach + np.uint64(1)))
+        whole, reach = memoryview(data.tobytes()), zip(self.first.tolist(), self.last.tolist(), self.at.tolist(), strict=True)
+        self.stretch = pairs([digest(bytes(whole[f : l + length]) + (p - f).to_bytes(4, "little")) for f, l, p in reach])
+
+
+def digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
+def pairs(digests: list[bytes]) -> np.ndarray:
+    """16 bytes each, as two numbers."""
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+
+
+def binary(x: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(x).tobytes()
+    return pa.array([data[i : i + 16] for i in range(0, len(data), 16)], pa.binary())
 
 
 def once(row: np.ndarray, *names: np.ndarray) -> np.ndarray:
     """Whether each entry is the first of its row with these names; entries stand in the order of their places."""
+    names = [c for x in names for c in (x.T if x.ndim == 2 else (x,))]
     order = np.lexsort((np.arange(len(row)), *names[::-1], row))
     new = np.ones(len(row), bool)
     same = row[order[1:]] == row[order[:-1]]
@@ -112,6 +130,29 @@ def once(row: np.ndarray, *names: np.ndarray) -> np.ndarray:
     return new
 
 
+def same_strings(data: np.ndarray, at: np.ndarray, name: np.ndarray, length: int) -> np.ndarray:
+    """A number for each place in `at`, equal where the strings of a length there are equal; name: equal where they are."""
+    order = np.argsort(name, kind="stable")
+    new = np.ones(len(name), bool)
+    new[1:] = name[order[1:]] != name[order[:-1]]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
+    group = np.empty(len(name), np.int64)
+    group[order] = lead
+    if not len(name) or new.all():
+        return group
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)
+    met = np.flatnonzero(~new)
+    for part in (met[i : i + 20_000] for i in range(0, len(met), 20_000)):
+        odd = part[(strings[at[order[part]]] != strings[at[order[lead[part]]]]).any(axis=1)]
+        # One name of two strings: they are told apart by their bytes.
+        for i in np.unique(lead[odd]).tolist():
+            members = order[lead == i]
+            known: dict[bytes, int] = {}
+            for m in members.tolist():
+                group[m] = known.setdefault(strings[at[m]].tobytes(), i if not known else len(name) + m)
+    return group
+
+
 def remove_repeats(
     docs: DataFrame, length: int = 100, k: int = 20, slice_bytes: int = 1 << 20, group_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -134,9 +175,9 @@ def remove_repeats(
             a = Anchors(*raw(batch.column(2)), length, k)
             new = once(a.row, a.kname, a.stretch)
             index = pa.array(a.row[new])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), signed(a.kname[new]), signed(a.stretch[new])], names=["id", "content", "kname", "stretch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), signed(a.kname[new]), binary(a.stretch[new])], names=["id", "content", "kname", "stretch"])
 
-    found = keyed.mapInArrow(scan, f"id {kind}, content long, kname long, stretch long")
+    found = keyed.mapInArrow(scan, f"id {kind}, content long, kname long, stretch binary")
     # Round 1: unique starts leave.
     shared = found.groupBy("kname").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kname")
     alive = keep(found.join(shared, "kname", "left_semi"), "anchors", free=True)
@@ -156,20 +197,21 @@ def remove_repeats(
             a = Anchors(data, offsets, length, k)
             data = data[int(offsets[0]) : int(offsets[-1])].tobytes()
             row, name = flat(batch.column(3))
-            large = dict(zip(zip(row.tolist(), name.tolist(), strict=True), flat(batch.column(4))[1].astype(bool).tolist(), strict=True))
-            chosen = np.flatnonzero(listed(a.row, a.stretch, batch.column(3)) & once(a.row, a.kname, a.stretch))
+            own, listed = numbered(a.stretch, name)
+            large = dict(zip(zip(row.tolist(), listed.tolist(), strict=True), [x for v in batch.column(4) if v.is_valid for x in v.as_py()], strict=True))
+            chosen = np.flatnonzero(among(a.row, own, row, listed) & once(a.row, a.kname, a.stretch))
             index = pa.array(a.row[chosen])
             first, last = a.first[chosen], a.last[chosen]
             text = [data[f : l + length] for f, l in zip(first.tolist(), last.tolist(), strict=True)]
-            big = [large.get(x, False) for x in zip(a.row[chosen].tolist(), a.stretch[chosen].tolist(), strict=True)]
+            big = [bool(large.get(x, 0)) for x in zip(a.row[chosen].tolist(), own[chosen].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(index), batch.column(1).take(index), signed(a.kname[chosen]), signed(a.stretch[chosen]), pa.array((a.at[chosen] - first).astype(np.int16)), pa.array(text, pa.binary()), pa.array(big)],
+                [batch.column(0).take(index), batch.column(1).take(index), signed(a.kname[chosen]), binary(a.stretch[chosen]), pa.array((a.at[chosen] - first).astype(np.int16)), pa.array(text, pa.binary()), pa.array(big)],
                 names=["id", "content", "kname", "stretch", "lead", "context", "large"],
             )
 
     o = open_.withColumnsRenamed({"id": "f_id", "content": "f_content"})
     meets = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("content") == F.col("f_content"))
-    each = keyed.join(o, meets).select("id", "content", "text", "open", "large").mapInArrow(contexts, f"id {kind}, content long, kname long, stretch long, lead short, context binary, large boolean")
+    each = keyed.join(o, meets).select("id", "content", "text", "open", "large").mapInArrow(contexts, f"id {kind}, content long, kname long, stretch binary, lead short, context binary, large boolean")
     each = keep(each, "contexts", free=True)
     together = each.where("not large").drop("large").repartition("kname").sortWithinPartitions("kname")
 
@@ -197,16 +239,17 @@ def remove_repeats(
         if held:
             yield from flush(None)
 
-    masks = together.mapInArrow(compare, f"id {kind}, content long, stretch long, mask binary")
+    masks = together.mapInArrow(compare, f"id {kind}, content long, stretch binary, mask binary")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                row, place, name = context_windows(part, length)
-                index = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), part.column(3).take(index), pa.array(place.astype(np.int32)), signed(name)], names=["id", "content", "stretch", "place", "name"])
+                data, at, row, place, _ = context_windows(part, length)
+                index, whole = pa.array(row), data.tobytes()
+                name = pa.array([digest(whole[i : i + length]) for i in at.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), part.column(3).take(index), pa.array(place.astype(np.int32)), name], names=["id", "content", "stretch", "place", "name"])
 
-    single = each.where("large").drop("large").mapInArrow(windows, f"id {kind}, content long, stretch long, place int, name long")
+    single = each.where("large").drop("large").mapInArrow(windows, f"id {kind}, content long, stretch binary, place int, name binary")
     repeated = single.groupBy("name").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     late = single.join(repeated, "name").where(later)
     bits = F.transform(F.sequence(F.lit(0), F.lit(length - k)), lambda i: F.array_contains("places", i).cast("string"))
@@ -222,13 +265,14 @@ def remove_repeats(
             data, at = data[int(offsets[0]) : int(offsets[-1])], a.offsets
             # A stretch goes where the document isn't its first, or has it before; else its windows that a mask names.
             row, name = flat(batch.column(2))
+            own, listed = numbered(a.stretch, name)
             masks = [m for x in batch.column(3) if x.is_valid for m in x.as_py()]
             full = np.array([m is None for m in masks], bool)
-            whole = among(a.row, a.stretch, row[full], name[full]) | ~once(a.row, a.kname, a.stretch)
+            whole = among(a.row, own, row[full], listed[full]) | ~once(a.row, a.kname, a.stretch)
             gone = spread(a.first[whole], a.last[whole], len(a.windows))
-            partly = {(r, n): m for r, n, m in zip(row.tolist(), name.tolist(), masks, strict=True) if m is not None}
-            for i in np.flatnonzero(among(a.row, a.stretch, row[~full], name[~full]) & ~whole).tolist():
-                mask = np.frombuffer(partly[int(a.row[i]), int(a.stretch[i])], np.uint8) == 0x31
+            partly = {(r, n): m for r, n, m in zip(row.tolist(), listed.tolist(), masks, strict=True) if m is not None}
+            for i in np.flatnonzero(among(a.row, own, row[~full], listed[~full]) & ~whole).tolist():
+                mask = np.frombuffer(partly[int(a.row[i]), int(own[i])], np.uint8) == 0x31
                 f, l = int(a.first[i]), int(a.last[i]) + 1
                 gone[f:l] |= mask[: l - f]
             # Only starts that a text has twice can hold windows that it has twice.
@@ -236,8 +280,8 @@ def remove_repeats(
             same = (a.kname[order[1:]] == a.kname[order[:-1]]) & (a.row[order[1:]] == a.row[order[:-1]])
             twice = np.zeros(len(a.row), bool)
             twice[order[1:][same]] = twice[order[:-1][same]] = True
-            own, named, place = open_windows(a, twice)
-            gone[place[~once(own, named)]] = True
+            text, named, place = open_windows(a, twice)
+            gone[place[~once(text, same_strings(data, place, named, length))]] = True
             starts = np.flatnonzero(gone)
             removed = spread(starts, starts + length - 1, len(data)) if len(data) else np.zeros(0, bool)
             out = []
@@ -257,10 +301,10 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def context_windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, name) of all windows in contexts; the name also tells their start and where it lies in the window.
+def context_windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, where each window begins in them, its row, its place in the row, its name) of all windows in contexts.
 
-    Columns: id, content, kname, stretch, lead, context.
+    Columns: id, content, kname, stretch, lead, context. A name is one of the window's bytes alone; two may share it.
     """
     text = batch.column(5)
     size = np.diff(np.frombuffer(text.buffers()[1], np.int32, len(text) + 1 + text.offset)[text.offset :]).astype(np.int64)
@@ -270,15 +314,14 @@ def context_windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.
     many = np.maximum(size - length + 1, 0)
     row = np.repeat(np.arange(len(size)), many)
     place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    lead = batch.column(4).to_numpy().astype(np.int64)[row] - place
-    start = batch.column(2).to_numpy().view(np.uint64)[row]
-    with np.errstate(over="ignore"):
-        return row, place, mix(names[begin[row] + place] + mix(start + lead.astype(np.uint64) * np.uint64(MULTIPLIER)))
+    at = begin[row] + place
+    return data, at, row, place, names[at]
 
 
 def late_windows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """id, content, stretch, mask (a 0 or 1 for each window) of contexts with a window that a smaller id has, too."""
-    row, place, name = context_windows(batch, length)
+    data, at, row, _, name = context_windows(batch, length)
+    name = same_strings(data, at, name, length)
     ids = batch.column(0)
     rank = np.full(len(ids), len(ids), np.int64)  # null ids come last
     valid = np.flatnonzero(np.asarray(ids.is_valid()))
@@ -298,22 +341,24 @@ def late_windows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
 
 
 def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, name) of a column of lists of longs."""
+    """(row, name) of a column of lists of 16 bytes each."""
     size = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-    values = [np.asarray(x.values) for x in lists if x.is_valid and len(x)]
-    return np.repeat(np.arange(len(size)), size), (np.concatenate(values).astype(np.int64) if values else np.zeros(0, np.int64)).view(np.uint64)
+    return np.repeat(np.arange(len(size)), size), pairs([y for x in lists if x.is_valid for y in x.as_py()])
 
 
-def among(row: np.ndarray, name: np.ndarray, in_row: np.ndarray, in_name: np.ndarray) -> np.ndarray:
-    """Whether each (row, name) stands among others."""
-    with np.errstate(over="ignore"):
-        key = lambda r, x: mix(x + (r.astype(np.uint64) + np.uint64(1)) * np.uint64(MULTIPLIER))
-        return np.isin(key(row, name), key(in_row, in_name))
+def numbered(*names: np.ndarray) -> list[np.ndarray]:
+    """A number for each name of several lists, equal where names are."""
+    both = np.concatenate(names)
+    order = np.lexsort(both.T)
+    number = np.empty(len(both), np.int64)
+    number[order] = np.cumsum(np.concatenate(([False], (both[order][1:] != both[order][:-1]).any(axis=1)))[: len(both)])
+    return np.split(number, np.cumsum([len(x) for x in names])[:-1])
 
 
-def listed(row: np.ndarray, name: np.ndarray, lists: pa.Array) -> np.ndarray:
-    """Whether each (row, name) stands in the row's list."""
-    return among(row, name, *flat(lists))
+def among(row: np.ndarray, name: np.ndarray, in_row: np.ndarray, in_name: np.ndarray) -> np.ndarray:
+    """Whether each (row, number of a name) stands among others."""
+    many = max(int(x.max(initial=0)) for x in (name, in_name)) + 1
+    return np.isin(row * many + name, in_row * many + in_name)
 
 
 def spread(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
