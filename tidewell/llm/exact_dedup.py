@@ -6,35 +6,43 @@ anti-joined by sort-merge with the index and appended to it. Only ids and digest
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import join_heavy, keep, shared_dir
+from .shared import folder, join_heavy, keep, shared_dir, shared_root
 
 
 class DigestIndex:
     """Table (digest, keep_id) holding each text that was ever kept.
 
-    name: catalog table; path: its folder (default: in the shared folder). An index that exists under that name, or in that
-    folder, is opened; else an empty one is made. Without a name it is of use to its maker alone. buckets: of a new index;
-    default is the session's number of shuffle partitions, so that each bucket is written by one task. A folder that an
-    earlier session wrote must be opened with the buckets it was made with.
+    name: an index of this name is durable: it lies in the folder `tidewell-index` beside the applications' own, where any
+    later application opens it, whatever its catalog holds; `path` puts it elsewhere. Without either the index is its maker's
+    alone and goes with shared.clear. buckets: of a new index; default is the session's number of shuffle partitions, so that
+    each bucket is written by one task. The folder's name tells the buckets of one that exists.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or f"{shared_dir(spark)}/{self.name}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if spark.catalog.tableExists(self.name):
-            told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED `{self.name}`").collect()}
-            self.buckets, self.path = int(told["Num Buckets"]), told["Location"]
+        own = f"digest_index_{uuid.uuid4().hex}"
+        root = path or (f"{shared_root(spark)}/tidewell-index/{name}" if name else f"{shared_dir(spark)}/{own}")
+        system, at = folder(spark, root)
+        found = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+        told = [int(x.removeprefix("buckets-")) for x in found if x.startswith("buckets-")]
+        self.buckets = told[0] if told else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = f"{root.rstrip('/')}/buckets-{self.buckets}"
+        # The catalog's name follows from the folder, so two folders never share one; what it knows of a deleted folder is dropped.
+        self.name = f"digest_index_{hashlib.sha256(self.path.encode()).hexdigest()[:32]}" if name or path else own
+        if spark.catalog.tableExists(self.name) and not told:
+            spark.sql(f"DROP TABLE `{self.name}`")
 
     def rows(self, kind: str = "bigint") -> DataFrame:
         """kind: of keep_id, in a new index."""
         if not self.spark.catalog.tableExists(self.name):
+            system, path = folder(self.spark, self.path)
+            system.mkdirs(path)
             self.spark.sql(f"CREATE TABLE `{self.name}` (digest STRING, keep_id {kind}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
         return self.spark.table(self.name)
 
@@ -74,7 +82,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     found = keep(groups.drop("keep_id").join(index.rows().hint("merge"), "digest"), "indexed-groups")
     return (
         join_heavy(rows, found, "digest", "rows")
-        .select("id", "keep_id", "group_size", "digest", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+        # A row of any number of copies comes back so often, a million from each list.
+        .select("id", "keep_id", "group_size", "digest", "n", F.explode(F.expr("sequence(0L, (n - 1) div 1000000)")).alias("million"))
+        .select("id", "keep_id", "group_size", "digest", F.explode(F.expr("sequence(million * 1000000 + 1, least(n, (million + 1) * 1000000))")).alias("copy"))
         .select(
             F.col("id").alias(id_col), "keep_id", "group_size",
             ((F.col("copy") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256"),

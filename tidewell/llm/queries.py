@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +63,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One index for each table, under the same name in a later run, which finds its texts there under their own ids.
-    index = exact_dedup.DigestIndex(spark, f"digest_index_{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
+    # An index of its own, so that the result is that of the table as it stands, whatever was asked before.
+    index = exact_dedup.DigestIndex(spark)
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), index)
 
 

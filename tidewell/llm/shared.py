@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is set only where a local session names none (tests)."""
+    """This application's folder in the one named in spark.checkpoint.dir."""
+    return f"{shared_root(spark)}/tidewell-{spark.sparkContext.applicationId}"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a local session that names none (tests) gets one of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{tempfile.gettempdir()}/tidewell-shared"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tidewell-{spark.sparkContext.applicationId}"
+    return root.rstrip("/")
 
 
 def keep(df: DataFrame, name: str, free: bool = False) -> DataFrame:
@@ -50,7 +54,22 @@ def join_heavy(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFr
     return dealt.join(spread.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
+def folder(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def clear(spark: SparkSession) -> None:
-    """Delete every intermediate table of this application. Call it once results have been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every intermediate table of this application, and what the catalog says of them. Call it once results have been written.
+
+    Indexes with a name or a folder of their own stay.
+    """
+    system, path = folder(spark, shared_dir(spark))
+    inside = f"{system.makeQualified(path).toUri().getPath()}/"
+    for t in spark.catalog.listTables():
+        if t.name.startswith("digest_index_"):
+            told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED `{t.name}`").collect()}
+            if inside in told["Location"]:
+                spark.sql(f"DROP TABLE `{t.name}`")
+    system.delete(path, True)
