@@ -134,3 +134,27 @@ def hypothesis_weights(w: DataFrame, members: DataFrame, hypothesis: str, rate:
     """(hypothesis, w, mean_rate): posterior of each hypothesis and its mean rate (null without weight)."""
     j = w.join(members, "member").groupBy(hypothesis).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col(rate)).alias("_r"))
     return j.select(hypothesis, "w", F.when(F.col("w") > 0, F.col("_r") / F.col("w")).alias("mean_rate"))
+
+
+def log_sum_exp(*terms: Column) -> Column:
+    """ln of the sum of exp of the terms, by their largest, so that none overflows."""
+    top = F.greatest(*terms)
+    return top + F.log(sum((F.exp(t - top) for t in terms[1:]), F.exp(terms[0] - top)))
+
+
+def two_rate_grid(grid: DataFrame, rate: str, shared: list[str], z: str, shares: tuple[float, ...]) -> DataFrame:
+    """(fast, slow, share, shared, z): the grid's members, and mixtures of each two of its rates at each share of the faster.
+
+    Water of two parts that decay at two rates and are alike in all else has f C(fast) + (1 - f) C(slow), as decay of the first
+    order is linear; z is its logarithm. A single rate has no slow one and a share of 1. Rates meet on the shared axes, so rows
+    are joined with those of one place and hour only. Raises ValueError where a rate lacks some of the others' places.
+    """
+    counts = grid.groupBy(rate).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*shared).alias("places"))
+    seen = counts.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("places").alias("places")).first()
+    if seen["least"] != seen["most"] or seen["places"] != seen["most"]:
+        raise ValueError("each rate must have the same members once")
+    one = grid.select(F.col(rate).alias("fast"), F.lit(None).cast(dict(grid.dtypes)[rate]).alias("slow"), F.lit(1.0).alias("share"), *shared, F.col(z).alias("z"))
+    fast, slow = grid.select(*shared, F.col(rate).alias("fast"), F.col(z).alias("za")), grid.select(*shared, F.col(rate).alias("slow"), F.col(z).alias("zb"))
+    met = fast.join(slow, shared).where("fast > slow").withColumn("share", F.explode(F.array(*[F.lit(f) for f in shares])))
+    mixed = log_sum_exp(F.col("za") + F.log("share"), F.col("zb") + F.log(1 - F.col("share")))
+    return one.unionByName(met.select("fast", "slow", "share", *shared, mixed.alias("z")))

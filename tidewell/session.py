@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back.
+
+    As cut, but the plan that comes after it also knows sizes, and no longer the conditions that held on the way, which
+    Catalyst carries through a checkpoint and which grow with each join of a long job.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tidewell-{df.sparkSession.sparkContext.applicationId}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:

@@ -50,3 +50,36 @@ def line_length(part: Column) -> Column:
     """Length of one part's polyline."""
     pairs = F.zip_with(F.slice(part, 1, F.greatest(F.size(part) - 1, F.lit(0))), F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0))), lambda a, b: F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2))
     return F.aggregate(pairs, F.lit(0.0), lambda s, d: s + d)
+
+
+#: What a rule's action sets, and what its premise may read of a node.
+SET_BY_RULES, READ_OF_NODES = ["LINK", "PIPE", "PUMP", "VALVE"], ["PRESSURE", "HEAD"]
+
+
+def control_scan(data: DataFrame, key: str) -> DataFrame:
+    """(key, kind, id), distinct: links that a file's [CONTROLS] and [RULES] set, and nodes that they read.
+
+    data: section_lines. A control sets the link it begins with and reads each NODE it names. In a rule each line belongs to
+    the last clause that was opened: IF opens the premise, THEN and ELSE the action, RULE and PRIORITY neither; AND and OR go
+    on with it. Only actions set links, and a premise reads a NODE or JUNCTION by its pressure or head only. Words are in any
+    case, ids keep theirs. Lines without a word after such a keyword name nothing.
+    """
+    first, word = F.upper(F.col("tokens")[0]), lambda i: F.upper(F.get("tokens", i))
+    opened = F.when(first == "IF", "premise").when(first.isin("THEN", "ELSE"), "action").when(first.isin("RULE", "PRIORITY"), "none")
+    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rules = data.where("section = 'RULES'").withColumn("clause", F.last(opened, ignorenulls=True).over(w)).where(first != "RULE")
+    controls = data.where("section = 'CONTROLS'").withColumn("clause", F.lit("control"))
+    each = controls.unionByName(rules).where("size(tokens) > 1").select(key, "clause", "tokens", F.explode(F.expr("sequence(0, size(tokens) - 2)")).alias("i"))
+    here, reads = word(F.col("i")), word(F.col("i") + 2).isin(READ_OF_NODES)
+    kind = (
+        F.when((F.col("clause") == "control") & (F.col("i") == 0) & (here == "LINK"), "link").when((F.col("clause") == "control") & (here == "NODE"), "node")
+        .when((F.col("clause") == "action") & here.isin(SET_BY_RULES), "link").when((F.col("clause") == "premise") & here.isin("NODE", "JUNCTION") & reads, "node")
+    )
+    return each.select(key, kind.alias("kind"), F.get("tokens", F.col("i") + 1).alias("id")).where("kind is not null").distinct()
+
+
+def control_counts(data: DataFrame, key: str) -> DataFrame:
+    """(key, controls, rules) of the files that have either."""
+    is_rule = F.upper(F.col("tokens")[0]) == "RULE"
+    some = data.where("section in ('CONTROLS', 'RULES')").groupBy(key)
+    return some.agg(F.count_if(F.col("section") == "CONTROLS").alias("controls"), F.count_if((F.col("section") == "RULES") & is_rule).alias("rules"))

@@ -1,4 +1,4 @@
-"""Continuous readings: windows, sessions, the last value per site, and late rows kept in sight."""
+"""Continuous readings: windows, sessions, the last value per site, and late rows as an output of their own."""
 
 from __future__ import annotations
 
@@ -96,3 +96,26 @@ def upsert_latest(stream: DataFrame, key: str, path: str, checkpoint: str):
         last.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def split_late(stream: DataFrame, ts: str, delay: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """(on time, late): the stream's rows by whether they lie before the watermark, which together are all of them.
+
+    The watermark is what Spark's own would be: the latest time of all earlier batches less the delay. It is kept as a row for
+    each batch in a table of its own, so a batch that runs again after a failure is judged alike and overwrites its own files.
+    Rows without a time are on time. Runs over all that is there; a later call with the same path goes on from there.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = "latest timestamp, batch long"
+        spark.createDataFrame([], "latest timestamp").write.mode("overwrite").parquet(f"{path}/seen/batch=-1")
+        before = spark.read.schema(schema).parquet(f"{path}/seen").where(F.col("batch") < number).agg((F.max("latest") - F.expr(f"INTERVAL {delay}")).alias("__mark"))
+        marked = batch.crossJoin(F.broadcast(before)).withColumn("__late", F.coalesce(F.col(ts) < F.col("__mark"), F.lit(False))).drop("__mark")  # one row
+        for late, name in ((False, "on_time"), (True, "late")):
+            marked.where(F.col("__late") == late).drop("__late").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.agg(F.max(ts).alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    read = lambda name: stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/{name}")
+    return read("on_time"), read("late")
