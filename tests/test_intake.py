@@ -128,3 +128,20 @@ def test_two_rates_mix_in_concentration(spark):
         posterior.two_rate_grid(g.where("kb < 1 or place = 1"), "kb", ["place"], "z", (0.5,))
     both = spark.range(1).select(posterior.log_sum_exp(F.lit(1000.0), F.lit(1000.0)).alias("big"), posterior.log_sum_exp(F.lit(-1000.0), F.lit(-1001.0)).alias("small")).first()
     assert both["big"] == pytest.approx(1000 + math.log(2)) and both["small"] == pytest.approx(-1000 + math.log1p(math.exp(-1)))
+
+
+def test_priors_and_several_deviations(spark):
+    grid = spark.createDataFrame([(h, j, [-0.1 * m * (j + 1) for m in range(4)]) for h in range(2) for j in range(3)], "hour int, junction int, z array<double>")
+    samples = spark.createDataFrame([(0, 1, 0.8), (1, 2, 0.5), (1, 0, 0.01)], "hour int, junction int, y double")
+    sds = [0.2, 0.5]
+    for student in (None, 3.0):
+        got = {r["member"]: r["loglik"] for r in posterior.log_likelihood_of_sds(grid, samples, sds, student).collect()}
+        alone = [{r["member"]: r["loglik"] for r in posterior.log_likelihood(grid, samples, sd, student).collect()} for sd in sds]
+        for m in range(4):
+            u = [(math.log(max(y, 0.02)) + 0.1 * m * (j + 1)) / sds[0] for _, j, y in ((0, 1, 0.8), (1, 2, 0.5), (1, 0, 0.01))]
+            term = sum(-0.5 * x * x if student is None else -0.5 * (student + 1) * math.log1p(x * x / student) for x in u) - 3 * math.log(sds[0])
+            assert alone[0][m] == pytest.approx(term) and got[m] == pytest.approx(math.log((math.exp(alone[0][m]) + math.exp(alone[1][m])) / 2))
+    loglik = spark.createDataFrame([(0, -1.0), (1, -2.0), (2, -3.0)], "member int, loglik double")
+    prior = spark.createDataFrame([(0, math.log(0.1)), (1, math.log(0.9))], "member int, log_prior double")
+    w = {r["member"]: r["w"] for r in posterior.weights(loglik, prior).collect()}
+    assert set(w) == {0, 1} and w[0] == pytest.approx(0.1 * math.e / (0.1 * math.e + 0.9))

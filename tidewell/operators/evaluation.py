@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
-from .ranks import ranked
+from .ranks import quantiles, ranked
 
 
 def error_sums(truth: Column, pred: Column, low: Column, high: Column, limit: float) -> dict[str, Column]:
@@ -113,8 +113,12 @@ def share_below(rows: DataFrame, by: list[str], value: str, limit: float) -> Dat
 
 def draw_summary(draws: DataFrame, by: list[str], value: str, limit: float) -> DataFrame:
     """Of Monte Carlo draws: median, the ends of bands of 50, 80, 90 and 95 % (interpolated), mean, population deviation, share under the limit."""
-    ends = {f"{end}{q}": F.percentile(value, F.lit(0.5 + sign * q / 200)) for q in (50, 80, 90, 95) for end, sign in (("lo", -1), ("hi", 1))}
-    return draws.groupBy(*by).agg(F.median(value).alias("median"), *[v.alias(k) for k, v in ends.items()], F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.avg((F.col(value) < limit).cast("int")).alias("p_below"))
+    ends = {f"{end}{q}": 0.5 + sign * q / 200 for q in (50, 80, 90, 95) for end, sign in (("lo", -1), ("hi", 1))}
+    bands = quantiles(draws, value, {"median": 0.5, **ends}, by)
+    rest = draws.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.avg((F.col(value) < limit).cast("int")).alias("p_below"))
+    keys = [F.col(f"_r.{c}").eqNullSafe(F.col(f"_b.{c}")) for c in by]
+    joined = rest.alias("_r").join(bands.alias("_b"), keys, "left") if by else rest.alias("_r").crossJoin(bands.alias("_b"))  # one row each
+    return joined.select(*[F.col(f"_r.{c}").alias(c) for c in by], *[F.col(f"_b.{c}").alias(c) for c in ("median", *ends)], "_r.mean", "_r.sd", "_r.p_below")
 
 
 def bootstrap_ratio(sums: DataFrame, seed_col: str, top: str, bottom: str, draws: int) -> DataFrame:

@@ -31,8 +31,10 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, dist) of nodes that some source reaches. Only nodes that came nearer in a round are looked at in the next.
 
-    edges: a, b, weight (directed; null or negative weights are refused by no one and must not be there).
+    edges: a, b, weight (directed). Raises ValueError where a weight is null, NaN or negative: a circle of those would never end.
     """
+    if not edges.where(F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0)).isEmpty():
+        raise ValueError("a weight is null, not a number, or negative")
     found = [cut(sources.select(F.col("node"), F.lit(0.0).alias("dist")).distinct())]
     while True:
         offers = found[-1].join(edges, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("weight")).alias("new"))

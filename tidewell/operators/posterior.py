@@ -27,8 +27,26 @@ def log_likelihood(grid: DataFrame, samples: DataFrame, sd: float, student: floa
     return hit.groupBy("member").agg((F.sum(term) - F.count(F.lit(1)) * math.log(sd)).alias("loglik"))
 
 
-def weights(loglik: DataFrame) -> DataFrame:
-    """(member, w): softmax of loglik over all members; the members number as many as the grid has, not as the data."""
+def log_likelihood_of_sds(grid: DataFrame, samples: DataFrame, sds: list[float], student: float | None = None) -> DataFrame:
+    """(member, loglik) where the readings' deviation is one of sds, each as likely as the others: ln of the mean likelihood over them. One pass over the samples."""
+    hit = grid.join(samples, ["hour", "junction"]).select(F.posexplode("z").alias("member", "z"), F.log(F.greatest("y", F.lit(FLOOR))).alias("ly"))
+
+    def one(sd: float) -> Column:
+        u = (F.col("ly") - F.col("z")) / sd
+        term = -0.5 * u * u if student is None else -0.5 * (student + 1) * F.log1p(u * u / student)
+        return F.sum(term) - F.count(F.lit(1)) * math.log(sd)
+
+    each = hit.groupBy("member").agg(*[one(sd).alias(f"l{i}") for i, sd in enumerate(sds)])
+    return each.select("member", (log_sum_exp(*[F.col(f"l{i}") for i in range(len(sds))]) - math.log(len(sds))).alias("loglik"))
+
+
+def weights(loglik: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """(member, w): softmax of loglik over all members; the members number as many as the grid has, not as the data.
+
+    prior: (member, log_prior), up to a constant; members that it lacks have weight 0.
+    """
+    if prior is not None:
+        loglik = loglik.join(prior, "member").select("member", (F.col("loglik") + F.col("log_prior")).alias("loglik"))
     top = loglik.agg(F.max("loglik").alias("top"))
     e = loglik.crossJoin(F.broadcast(top)).select("member", F.exp(F.col("loglik") - F.col("top")).alias("e"))
     return e.crossJoin(F.broadcast(e.agg(F.sum("e").alias("total")))).select("member", (F.col("e") / F.col("total")).alias("w"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .ranks import quantiles
 
 
 def straddle(mu: Column, sd: Column, level: Column) -> Column:
@@ -90,6 +91,6 @@ def baselines(rows: DataFrame, key: str, place: str, age: str, y: str) -> DataFr
 
 def watch_flags(rows: DataFrame, p_below: str, age: str, celsius: float, chance: float = 0.5, quantile: float = 0.75, least_celsius: float = 15.0) -> DataFrame:
     """rows with `watch`: likely low, among the oldest, and the water warm enough."""
-    old = rows.agg(F.percentile(age, F.lit(quantile)).alias("_old"))
+    old = quantiles(rows, age, {"_old": quantile})
     flag = (F.col(p_below) > chance) & (F.col(age) >= F.col("_old")) & F.lit(celsius >= least_celsius)
     return rows.crossJoin(F.broadcast(old)).withColumn("watch", F.coalesce(flag, F.lit(False))).drop("_old")
