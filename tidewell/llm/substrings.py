@@ -73,8 +73,8 @@ class Anchors:
         n = len(self.windows)
         empty = np.zeros(0, np.int64)
         self.row = self.at = self.first = self.last = empty
-        self.data = data
-        self.kname, self.stretch = empty.astype(np.uint64), np.zeros((0, 2), np.uint64)
+        self.data, self.length = data, length
+        self.kname = empty.astype(np.uint64)
         if not n:
             return
         # The least k-byte string of each window: its hash, then its place, in one number (a slice is far under 2^26 bytes
@@ -100,8 +100,15 @@ class Anchors:
         self.at = self.first + ((low.astype(np.int64) - self.first) & ((1 << 26) - 1))
         self.row = np.searchsorted(self.offsets, self.first, "right") - 1
         self.kname = short[self.at]
-        whole, reach = memoryview(data.tobytes()), zip(self.first.tolist(), self.last.tolist(), self.at.tolist(), strict=True)
-        self.stretch = pairs([digest(bytes(whole[f : l + length]) + (p - f).to_bytes(4, "little")) for f, l, p in reach])
+
+    def stretches(self, chosen: np.ndarray | None = None) -> np.ndarray:
+        """Names of the anchors' stretches and of their own places in them, as two numbers each; zeros where not chosen."""
+        index = np.arange(len(self.row)) if chosen is None else np.flatnonzero(chosen)
+        found = np.zeros((len(self.row), 2), np.uint64)
+        whole, length = self.data.tobytes() if index.size else b"", self.length
+        reach = zip(self.first[index].tolist(), self.last[index].tolist(), self.at[index].tolist(), strict=True)
+        found[index] = pairs([digest(whole[f : l + length] + (p - f).to_bytes(4, "little")) for f, l, p in reach])
+        return found
 
 
 def digest(text: bytes) -> bytes:
@@ -114,8 +121,9 @@ def pairs(digests: list[bytes]) -> np.ndarray:
 
 
 def binary(x: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(x).tobytes()
-    return pa.array([data[i : i + 16] for i in range(0, len(data), 16)], pa.binary())
+    """Pairs of numbers as 16 bytes each."""
+    ends = np.arange(len(x) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
 
 
 def once(row: np.ndarray, *names: np.ndarray) -> np.ndarray:
@@ -173,9 +181,10 @@ def remove_repeats(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, slice_bytes):
             a = Anchors(*raw(batch.column(2)), length, k)
-            new = once(a.row, a.kname, a.stretch)
+            stretch = a.stretches()
+            new = once(a.row, a.kname, stretch)
             index = pa.array(a.row[new])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), signed(a.kname[new]), binary(a.stretch[new])], names=["id", "content", "kname", "stretch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), signed(a.kname[new]), binary(stretch[new])], names=["id", "content", "kname", "stretch"])
 
     found = keyed.mapInArrow(scan, f"id {kind}, content long, kname long, stretch binary")
     # Round 1: unique starts leave.
@@ -197,15 +206,16 @@ def remove_repeats(
             a = Anchors(data, offsets, length, k)
             data = data[int(offsets[0]) : int(offsets[-1])].tobytes()
             row, name = flat(batch.column(3))
-            own, listed = numbered(a.stretch, name)
+            stretch = a.stretches()
+            own, listed = numbered(stretch, name)
             large = dict(zip(zip(row.tolist(), listed.tolist(), strict=True), [x for v in batch.column(4) if v.is_valid for x in v.as_py()], strict=True))
-            chosen = np.flatnonzero(among(a.row, own, row, listed) & once(a.row, a.kname, a.stretch))
+            chosen = np.flatnonzero(among(a.row, own, row, listed) & once(a.row, a.kname, stretch))
             index = pa.array(a.row[chosen])
             first, last = a.first[chosen], a.last[chosen]
             text = [data[f : l + length] for f, l in zip(first.tolist(), last.tolist(), strict=True)]
             big = [bool(large.get(x, 0)) for x in zip(a.row[chosen].tolist(), own[chosen].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(index), batch.column(1).take(index), signed(a.kname[chosen]), binary(a.stretch[chosen]), pa.array((a.at[chosen] - first).astype(np.int16)), pa.array(text, pa.binary()), pa.array(big)],
+                [batch.column(0).take(index), batch.column(1).take(index), signed(a.kname[chosen]), binary(stretch[chosen]), pa.array((a.at[chosen] - first).astype(np.int16)), pa.array(text, pa.binary()), pa.array(big)],
                 names=["id", "content", "kname", "stretch", "lead", "context", "large"],
             )
 
@@ -265,21 +275,22 @@ def remove_repeats(
             data, at = data[int(offsets[0]) : int(offsets[-1])], a.offsets
             # A stretch goes where the document isn't its first, or has it before; else its windows that a mask names.
             row, name = flat(batch.column(2))
-            own, listed = numbered(a.stretch, name)
+            # Only starts that a text has twice can hold stretches or windows that it has twice.
+            order = np.lexsort((a.kname, a.row))
+            same = (a.kname[order[1:]] == a.kname[order[:-1]]) & (a.row[order[1:]] == a.row[order[:-1]])
+            twice = np.zeros(len(a.row), bool)
+            twice[order[1:][same]] = twice[order[:-1][same]] = True
+            stretch = a.stretches(twice | np.isin(a.row, row))
+            own, listed = numbered(stretch, name)
             masks = [m for x in batch.column(3) if x.is_valid for m in x.as_py()]
             full = np.array([m is None for m in masks], bool)
-            whole = among(a.row, own, row[full], listed[full]) | ~once(a.row, a.kname, a.stretch)
+            whole = among(a.row, own, row[full], listed[full]) | ~once(a.row, a.kname, stretch)
             gone = spread(a.first[whole], a.last[whole], len(a.windows))
             partly = {(r, n): m for r, n, m in zip(row.tolist(), listed.tolist(), masks, strict=True) if m is not None}
             for i in np.flatnonzero(among(a.row, own, row[~full], listed[~full]) & ~whole).tolist():
                 mask = np.frombuffer(partly[int(a.row[i]), int(own[i])], np.uint8) == 0x31
                 f, l = int(a.first[i]), int(a.last[i]) + 1
                 gone[f:l] |= mask[: l - f]
-            # Only starts that a text has twice can hold windows that it has twice.
-            order = np.lexsort((a.kname, a.row))
-            same = (a.kname[order[1:]] == a.kname[order[:-1]]) & (a.row[order[1:]] == a.row[order[:-1]])
-            twice = np.zeros(len(a.row), bool)
-            twice[order[1:][same]] = twice[order[:-1][same]] = True
             text, named, place = open_windows(a, twice)
             gone[place[~once(text, same_strings(data, place, named, length))]] = True
             starts = np.flatnonzero(gone)
