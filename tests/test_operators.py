@@ -97,6 +97,13 @@ def test_audit(spark):
     assert {r["token"]: r["found"] for r in got.collect()} == {"0.12": True, "3.5": True, "7": False}
 
 
+def test_numbers_of_any_length_are_traced(spark):
+    """Numbers beyond bigint, with hundreds of decimals, or finer than the slack of the comparison."""
+    docs = spark.createDataFrame([(1, f"99999999999999999999999 and 0.{'0' * 400}1 and {'7' * 400} and 2.50000000000000000001 and 123456789012345678901.0")], "id int, text string")
+    got = audit.trace_numbers(audit.numbers_in(docs, "id", "text"), spark.createDataFrame([(2.5,), (123456789012345678901.0,)], "pool_value double"))
+    assert [r["found"] for r in got.orderBy("place").collect()] == [False, False, False, True, True]
+
+
 def test_decoding():
     assert files.decode_bytes("é".encode("utf-8-sig")) == ("é", "utf-8-sig")
     assert files.decode_bytes("dépôt".encode("utf-16-le"))[0] == "dépôt"

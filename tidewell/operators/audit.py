@@ -18,12 +18,14 @@ def numbers_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def trace_numbers(numbers: DataFrame, pool: DataFrame, value: str = "pool_value") -> DataFrame:
     """numbers with `found`: whether some pool value rounds to it at its printed precision. A join on cells of the precision.
 
-    The rounding unit has few distinct sizes; each number meets its own cell and the next.
+    The rounding unit has few distinct sizes; each number meets its own cell and the two beside it. Cells are doubles, as a
+    long number, or one of many decimals, is in no cell that a bigint could count; they are no narrower than ten times the
+    slack of the comparison.
     """
-    n = numbers.withColumn("_unit", F.col("half") * 2)
+    n = numbers.withColumn("_unit", F.greatest(F.col("half") * 2, F.lit(1e-11)))
     units = n.select("_unit").distinct()
-    cells = pool.select(F.col(value).alias("_v")).distinct().crossJoin(F.broadcast(units)).select("_v", "_unit", F.floor(F.col("_v") / F.col("_unit")).alias("_cell"))
-    asked = n.withColumn("_cell", F.explode(F.array(*[F.floor(F.col("value") / F.col("_unit")) + i for i in (-1, 0, 1)])))
+    cells = pool.select(F.col(value).cast("double").alias("_v")).distinct().crossJoin(F.broadcast(units)).select("_v", "_unit", F.rint(F.col("_v") / F.col("_unit")).alias("_cell"))
+    asked = n.select("value", "half", "_unit").distinct().withColumn("_cell", F.explode(F.array_distinct(F.array(*[F.rint(F.col("value") / F.col("_unit")) + i for i in (-1.0, 0.0, 1.0)]))))
     hit = asked.join(cells, ["_unit", "_cell"]).where(F.abs(F.col("value") - F.col("_v")) <= F.col("half") + 1e-12).select("value", "half").distinct().withColumn("_hit", F.lit(True))
     return numbers.join(hit, ["value", "half"], "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
