@@ -142,3 +142,16 @@ def test_table_layout(spark):
     assert [tables.date_order(spark.createDataFrame([(x,) for x in o], "d string"), "d").first()[0] for o in orders] == ["DMY", "MDY", "both", "either", "MDY"]
     lines = spark.createDataFrame([("a,\"b,c\",d",), ("x",)], "line string")
     assert [r["cells"] for r in tables.split_cells(lines, "line", ",", 3).collect()] == [["a", "b,c", "d"], ["x", None, None]]
+
+
+def test_cells_are_parsed_once_a_row(spark):
+    """However often a formula names a part of a cell, its plan has the part's pattern once or twice."""
+    from tidewell.functions import parsing
+
+    cells = spark.createDataFrame([(x,) for x in ('6" CI', "DN150", "8-1/2 in", "7 cm", "12x8", "", "é" * 20 + " x", "Ab;;" * 12)], "cell string")
+    got = cells.select(parsing.clean_id(F.col("cell")).alias("id"), parsing.diameter_mm(F.col("cell")).alias("mm"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("nps") <= 1 and plan.count("[^\\p{L}") <= 2
+    rows = got.collect()
+    assert [r["mm"] for r in rows[:6]] == [6 * 25.4, 150.0, 8.5 * 25.4, 70.0, None, None]
+    assert rows[5]["id"] == "X" and rows[6]["id"][:11] == "é" * 11 and rows[7]["id"][:23] == "Ab_" * 7 + "A_" and len(rows[6]["id"].encode()) == 31

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,16 @@ NOT_DETECTED = ["nd", "n.d.", "n/d", "non-detect", "nondetect", "non detect", "n
 BLANK = ["", "-", "--", "na", "n/a", "nan", "null", "none"]
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once a row however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def to_double(text: Column) -> Column:
+    """text as a double, else null. Empty text isn't given to the cast, which throws and catches an exception for each."""
+    return bound(text, lambda x: F.when(x != "", x.try_cast("double")))
+
+
 def reading(text: Column) -> Column:
     """struct(value double, state string): used, censored_below, censored_above, blank or refused.
 
@@ -20,7 +32,7 @@ def reading(text: Column) -> Column:
     body = F.trim(F.regexp_replace(t, r"\s*(mg/l|ppm)$", ""))
     sign = F.regexp_extract(body, "^([<>])=?", 1)
     number = F.regexp_extract(body, r"^(?:[<>]=?)?\s*([0-9]+(?:[.,][0-9]+)?|[.,][0-9]+)$", 1)
-    value = F.translate(number, ",", ".").try_cast("double")
+    value = to_double(F.translate(number, ",", "."))
     state = (
         F.when(text.isNull() | t.isin(BLANK), "blank").when(t.isin(NOT_DETECTED) | ((sign == "<") & value.isNotNull()), "censored_below")
         .when((sign == ">") & value.isNotNull(), "censored_above").when(value.isNotNull(), "used").otherwise("refused")
@@ -63,9 +75,13 @@ def clean_id(text: Column) -> Column:
     """An id of letters, digits and _ . - : + / # @, at most 31 bytes in UTF-8; longer ones are cut and end in a digest; of nothing, X."""
     t = F.trim(text)
     safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}_.\-:+/#@]", "_"), "_+", "_"), "^_|_$", "")
-    safe = F.when(safe == "", "X").otherwise(safe)
-    heads = F.filter(F.transform(F.sequence(F.lit(0), F.lit(22)), lambda n: F.substr(safe, F.lit(1), n)), lambda h: F.octet_length(h) <= 22)
-    return F.when(F.octet_length(safe) <= 31, safe).otherwise(F.concat(F.try_element_at(heads, F.lit(-1)), F.lit("_"), F.substring(F.sha1(t.cast("binary")), 1, 8)))
+
+    def short(x: Column) -> Column:
+        heads = F.filter(F.transform(F.sequence(F.lit(0), F.lit(22)), lambda n: F.substr(x, F.lit(1), n)), lambda h: F.octet_length(h) <= 22)
+        head = F.when(F.octet_length(x) == F.length(x), F.substring(x, 1, 22)).otherwise(F.try_element_at(heads, F.lit(-1)))
+        return F.when(x == "", "X").when(F.octet_length(x) <= 31, x).otherwise(F.concat(head, F.lit("_"), F.substring(F.sha1(t.cast("binary")), 1, 8)))
+
+    return bound(safe, short)
 
 
 def year(text: Column) -> Column:
@@ -84,9 +100,6 @@ def bare_unit(least: Column, most: Column) -> Column:
     return F.when((least >= 2) & (most <= 48), "in").when((least >= 50) & (most <= 1200), "mm").when((least >= 0.05) & (most <= 1.2), "m")
 
 
-MILLIMETRES = {"in": 25.4, "mm": 1.0, "cm": 10.0, "m": 1000.0}
-
-
 def pipe_size(text: Column) -> Column:
     """struct(value, unit, flag) of a pipe size as drawings and layers write it.
 
@@ -96,36 +109,45 @@ def pipe_size(text: Column) -> Column:
     """
     t = F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, "[″“”]|''", '"'), "[’′‘]", "'")))
     t = F.regexp_replace(F.regexp_replace(t, "[ø⌀]", ""), r"(\d),(\d{3})(?!\d)", "$1$2")
-    named = t.isin("na", "n/a", "unknown", "unk", "?", "-")
-    bare = F.regexp_replace(F.regexp_replace(t, r"\bl\s*=\s*[0-9.]+\s*'?", " "), r"[0-9.]+\s*'(?!')", " ")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"\bl\s*=\s*[0-9.]+\s*'?", " "), r"[0-9.]+\s*'(?!')", " ")
+    return bound(t, lambda t: bound(bare(t), lambda b: bound(sizes_in(b), lambda p: judged(t, p))))
+
+
+def sizes_in(bare: Column) -> Column:
+    """struct of the sizes that a cleaned cell names: inches, mm, cm, m, the two of a pair x1 x x2, those of a & b, a bare number."""
     g = lambda p, i=1: F.regexp_extract(bare, p, i)
     number = r"(\d+(?:\.\d+)?)"
-    pair = lambda i: g(rf'{number}\s*"?\s*x\s*{number}', i).try_cast("double")
-    both = lambda i: g(rf"{number}\s*(?:&|and)\s*{number}", i).try_cast("double")
+    pair = lambda i: to_double(g(rf'{number}\s*"?\s*x\s*{number}', i))
+    both = lambda i: to_double(g(rf"{number}\s*(?:&|and)\s*{number}", i))
     inch = r'(?:"|in\b|inch)'
     mixed, part = rf"(\d+)[- ]+(\d+)/(\d+)\s*{inch}", rf"(?<![\d-])(\d+)/(\d+)\s*{inch}"
     inches = F.coalesce(
-        g(mixed, 1).try_cast("double") + g(mixed, 2).try_cast("double") / g(mixed, 3).try_cast("double"), g(part, 1).try_cast("double") / g(part, 2).try_cast("double"),
-        g(rf"{number}\s*{inch}").try_cast("double"), g(rf"\bnps\s*{number}").try_cast("double"),
+        to_double(g(mixed, 1)) + to_double(g(mixed, 2)) / to_double(g(mixed, 3)), to_double(g(part, 1)) / to_double(g(part, 2)),
+        to_double(g(rf"{number}\s*{inch}")), to_double(g(rf"\bnps\s*{number}")),
     )
-    mm = F.coalesce(g(rf"\bdn\s*{number}").try_cast("double"), g(rf"{number}\s*mm\b").try_cast("double"))
-    cm, m = g(rf"{number}\s*cm\b").try_cast("double"), g(rf"(?<![=\d]){number}\s*m\b").try_cast("double")
+    mm = F.coalesce(to_double(g(rf"\bdn\s*{number}")), to_double(g(rf"{number}\s*mm\b")))
+    cm, m = to_double(g(rf"{number}\s*cm\b")), to_double(g(rf"(?<![=\d]){number}\s*m\b"))
     alone = F.regexp_extract_all(F.regexp_replace(bare, r"\b(?:18[5-9]\d|19\d\d|20[0-2]\d|2030)\b", " "), F.lit(r"(?<![\w.])(\d+(?:\.\d+)?)(?![\w.])"), F.lit(1))
-    whole = F.regexp_extract(bare, r"^\s*(\d+(?:\.\d+)?)\s*$", 1).try_cast("double")
-    single = F.coalesce(whole, F.when(F.size(alone) == 1, F.get(alone, F.lit(0)).try_cast("double")))
+    only = bound(alone, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0)).try_cast("double")))
+    single = F.coalesce(to_double(g(r"^\s*(\d+(?:\.\d+)?)\s*$")), only)
+    return F.struct(inches.alias("inches"), mm.alias("mm"), cm.alias("cm"), m.alias("m"), pair(1).alias("x1"), pair(2).alias("x2"), both(1).alias("a"), both(2).alias("b"), single.alias("single"))
+
+
+def judged(t: Column, p: Column) -> Column:
+    """pipe_size's struct of a cell t and the sizes p in it."""
+    inches, mm, cm, m, single = (p[k] for k in ("inches", "mm", "cm", "m", "single"))
+    named = t.isin("na", "n/a", "unknown", "unk", "?", "-")
     dual = inches.isNotNull() & mm.isNotNull() & (F.abs(inches * 25.4 - mm) <= 0.05 * mm)
     flag = (
-        F.when(t.isNull() | t.isin("", "0", "none", "null"), "empty").when(named, "unreadable").when(pair(1).isNotNull() & (pair(1) != pair(2)), "reducer").when(both(1).isNotNull() & (both(1) != both(2)), "two sizes")
-        .when(inches.isNotNull() & mm.isNotNull() & ~dual, "two sizes").when(F.coalesce(inches, mm, cm, m, pair(1), single).isNull(), "unreadable")
+        F.when(t.isNull() | t.isin("", "0", "none", "null"), "empty").when(named, "unreadable").when(p["x1"].isNotNull() & (p["x1"] != p["x2"]), "reducer").when(p["a"].isNotNull() & (p["a"] != p["b"]), "two sizes")
+        .when(inches.isNotNull() & mm.isNotNull() & ~dual, "two sizes").when(F.coalesce(inches, mm, cm, m, p["x1"], single).isNull(), "unreadable")
     )
     unit = F.when(inches.isNotNull(), "in").when(mm.isNotNull(), "mm").when(cm.isNotNull(), "cm").when(m.isNotNull(), "m")
-    return F.struct(F.when(flag.isNull(), F.coalesce(inches, mm, cm, m, pair(1), single)).alias("value"), F.when(flag.isNull(), unit).alias("unit"), flag.alias("flag"))
+    out = lambda flag: F.struct(F.when(flag.isNull(), F.coalesce(inches, mm, cm, m, p["x1"], single)).alias("value"), F.when(flag.isNull(), unit).alias("unit"), flag.alias("flag"))
+    return bound(flag, out)
 
 
 def diameter_mm(text: Column) -> Column:
     """Pipe size in millimetres of cells that name a unit; null for bare numbers, lengths, reducers and others."""
-    size = pipe_size(text)
-    out = F.lit(None).cast("double")
-    for unit, factor in MILLIMETRES.items():
-        out = F.when(size["unit"] == unit, size["value"] * factor).otherwise(out)
-    return out
+    factor = lambda u: F.when(u == "in", 25.4).when(u == "mm", 1.0).when(u == "cm", 10.0).when(u == "m", 1000.0)
+    return bound(pipe_size(text), lambda size: size["value"] * factor(size["unit"]))
