@@ -82,8 +82,9 @@ def baselines(rows: DataFrame, key: str, place: str, age: str, y: str) -> DataFr
     first = rows.where(c(y).isNotNull()).groupBy(place, age).agg(F.min(F.struct(c(age).alias("a"), c(key).alias("k"), c(y).alias("v"))).alias("_s"))
     marked = rows.drop(y).join(first, [place, age], "left")
     up = Window.partitionBy(place).orderBy(age).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(place).orderBy(age).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    both = marked.withColumns({"_l": F.last("_s", ignorenulls=True).over(up), "_r": F.first("_s", ignorenulls=True).over(down)})
+    # The rows after are those before in the other order: a frame to the partition's end is summed anew for each row.
+    down = Window.partitionBy(place).orderBy(c(age).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = marked.withColumns({"_l": F.last("_s", ignorenulls=True).over(up), "_r": F.last("_s", ignorenulls=True).over(down)})
     d = lambda s: F.struct(F.abs(c(f"{s}.a") - c(age)).alias("d"), c(f"{s}.k").alias("k"), c(f"{s}.v").alias("v"))
     near = F.when(c("_l").isNull(), c("_r.v")).when(c("_r").isNull(), c("_l.v")).otherwise(F.least(d("_l"), d("_r"))["v"])
     return both.crossJoin(F.broadcast(fit)).select(key, "mean", (c("_a") + c("_b") * c(age)).alias("line"), near.alias("nearest"))
