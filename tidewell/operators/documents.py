@@ -61,8 +61,8 @@ def trace(texts: DataFrame, key: str, text: str, cited: DataFrame, values: DataF
     """(key, number, files): the distinct numbers of each text, and how many of the files that it cites hold them to its decimals.
 
     cited: key, file. values: pool. A number is traced where a value of a cited file, rounded to as many places as the number
-    has (most_decimals at most), is it; signs don't count. Values are joined once for each of the numbers of places that any
-    text uses, by file and rounded value, so a file's values never meet all numbers of a text.
+    has (most_decimals at most), is it; signs don't count. Values are joined once for each of the numbers of places that the
+    file is asked for, by file and rounded value, so a file's values never meet all numbers of a text.
     """
     told = texts.select(key, F.explode(F.array_distinct(numbers_in(F.col(text)))).alias("number"))
     told = told.withColumns({"places": F.least(decimals(F.col("number")), F.lit(most_decimals)), "size": F.abs(F.col("number").try_cast("double"))})
@@ -75,6 +75,7 @@ def trace(texts: DataFrame, key: str, text: str, cited: DataFrame, values: DataF
         return out
 
     asked = told.join(cited.select(key, file).distinct(), key).withColumn("as", rounded(F.col("size"), F.col("places")))
-    held = values.withColumn("places", F.explode(F.sequence(F.lit(0), F.lit(most_decimals)))).withColumn("as", rounded(F.col("value"), F.col("places"))).select(file, "places", "as").distinct()
+    used = asked.select(file, "places").distinct()
+    held = values.join(used, file).withColumn("as", rounded(F.col("value"), F.col("places"))).select(file, "places", "as").distinct()
     hits = asked.join(held, [file, "places", "as"], "left_semi").groupBy(key, "number").agg(F.count_distinct(file).alias("files"))
     return told.select(key, "number").join(hits, [key, "number"], "left").select(key, "number", F.coalesce("files", F.lit(0)).cast("long").alias("files"))
