@@ -30,14 +30,18 @@ def reading(text: Column) -> Column:
     """
     t = F.lower(F.trim(text))
     body = F.trim(F.regexp_replace(t, r"\s*(mg/l|ppm)$", ""))
-    sign = F.regexp_extract(body, "^([<>])=?", 1)
-    number = F.regexp_extract(body, r"^(?:[<>]=?)?\s*([0-9]+(?:[.,][0-9]+)?|[.,][0-9]+)$", 1)
-    value = to_double(F.translate(number, ",", "."))
-    state = (
-        F.when(text.isNull() | t.isin(BLANK), "blank").when(t.isin(NOT_DETECTED) | ((sign == "<") & value.isNotNull()), "censored_below")
-        .when((sign == ">") & value.isNotNull(), "censored_above").when(value.isNotNull(), "used").otherwise("refused")
-    )
-    return F.struct(F.when(state.isin("used", "censored_below", "censored_above"), value).alias("value"), state.alias("state"))
+    number = lambda b: F.regexp_extract(b, r"^(?:[<>]=?)?\s*([0-9]+(?:[.,][0-9]+)?|[.,][0-9]+)$", 1)
+    parts = lambda b: F.struct(t.alias("t"), F.regexp_extract(b, "^([<>])=?", 1).alias("sign"), to_double(F.translate(number(b), ",", ".")).alias("value"))
+
+    def judge(p: Column) -> Column:
+        t, sign, value = p["t"], p["sign"], p["value"]
+        state = (
+            F.when(t.isNull() | t.isin(BLANK), "blank").when(t.isin(NOT_DETECTED) | ((sign == "<") & value.isNotNull()), "censored_below")
+            .when((sign == ">") & value.isNotNull(), "censored_above").when(value.isNotNull(), "used").otherwise("refused")
+        )
+        return bound(state, lambda s: F.struct(F.when(s.isin("used", "censored_below", "censored_above"), value).alias("value"), s.alias("state")))
+
+    return bound(bound(body, parts), judge)
 
 
 def clock_minutes(text: Column) -> Column:
