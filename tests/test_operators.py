@@ -155,3 +155,51 @@ def test_cells_are_parsed_once_a_row(spark):
     rows = got.collect()
     assert [r["mm"] for r in rows[:6]] == [6 * 25.4, 150.0, 8.5 * 25.4, 70.0, None, None]
     assert rows[5]["id"] == "X" and rows[6]["id"][:11] == "é" * 11 and rows[7]["id"][:23] == "Ab_" * 7 + "A_" and len(rows[6]["id"].encode()) == 31
+
+
+def test_nearest_baselines_have_no_frame_to_the_partitions_end(spark):
+    from tidewell.operators import selection
+
+    rows = spark.createDataFrame([(i, i % 2, float(i * 7 % 50), float(i) if i % 3 == 0 else None) for i in range(60)], "id long, place int, age double, y double")
+    known = [(i, i % 2, float(i * 7 % 50), float(i)) for i in range(0, 60, 3)]
+    got = selection.baselines(rows, "id", "place", "age", "y")
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    for r in got.collect():
+        i = r["id"]
+        assert r["nearest"] == min((abs(a - float(i * 7 % 50)), k, y) for k, p, a, y in known if p == i % 2)[2]
+
+
+def test_tolerance_counts_are_those_of_all_pairs(spark):
+    from tidewell.operators import matching
+
+    left = [(i, i * 0.37 % 11) for i in range(40)] + [(98, None), (99, float("nan"))]
+    right = [(i, i * 0.1 % 13) for i in range(300)] + [(500, None)]
+    got = matching.tolerance_counts(spark.createDataFrame(left, "k int, a double"), spark.createDataFrame(right, "c int, b double"), "k", "a", "b", "c", 1.3)
+    expected = {}
+    for k, a in left:
+        met = [c for c, b in right if a is not None and b is not None and abs(a - b) <= 1.3]
+        if met:
+            expected[k] = (len(met), min(met))
+    assert {r["k"]: (r["n"], r["first"]) for r in got.collect()} == expected
+
+
+def test_quantiles_rank_different_values_only(spark, monkeypatch):
+    from tidewell.operators import ranks
+
+    seen = []
+    plain = ranks.running_sum
+    monkeypatch.setattr(ranks, "running_sum", lambda df, *rest: (seen.append(df.count()), plain(df, *rest))[1])
+    values = [float(i % 5) for i in range(101)]
+    got = ranks.quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", {"lo": 0.05, "mid": 0.5, "hi": 0.93}).first()
+    assert seen == [5] and [got["lo"], got["mid"], got["hi"]] == pytest.approx(np.quantile(values, [0.05, 0.5, 0.93]).tolist())
+
+
+def test_values_are_rounded_to_the_places_asked_only(spark):
+    from tidewell.operators import documents
+
+    texts = spark.createDataFrame([(1, "2.35 and 7"), (2, "2.351")], "k int, text string")
+    files = spark.createDataFrame([("f", "2.351 6.9"), ("g", "2.3514"), ("h", "1 2 3")], "file string, text string")
+    cited = spark.createDataFrame([(1, "f"), (2, "g"), (2, "f")], "k int, file string")
+    got = documents.trace(texts, "k", "text", cited, documents.pool(files, "file", "text"), "file")
+    assert "sequence(0, 6" not in got._jdf.queryExecution().logical().toString()
+    assert sorted((r["k"], r["number"], r["files"]) for r in got.collect()) == [(1, "2.35", 1), (1, "7", 1), (2, "2.351", 2)]
