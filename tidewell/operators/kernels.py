@@ -5,6 +5,8 @@ A kernel works on dense matrices, so it refuses a group of more than `most` rows
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,23 +86,60 @@ def linkage_groups(points: DataFrame, group: str, tol: float) -> DataFrame:
     return placed.join(parts.select(F.col("node").alias("_cell"), F.col("part").alias("piece")), "_cell").drop("_cell")
 
 
-def complete_linkage(points: DataFrame, group: str, tol: float, most: int = 4000) -> DataFrame:
-    """(group, id, cluster): merges the nearest clusters while their farthest points are within tol; a cluster is named by its least id."""
+def near_pairs(xy: np.ndarray, tol: float) -> dict[tuple[int, int], float]:
+    """Distances of the pairs (i, j), i < j, at most tol apart, by cells."""
+    cells: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(np.floor(xy / (tol * 1.0001 or 1.0)).tolist()):
+        cells.setdefault((x, y), []).append(i)
+    found = {}
+    for (x, y), own in cells.items():
+        others = np.array(sum((cells.get(c, []) for c in ((x, y), (x, y + 1), (x + 1, y - 1), (x + 1, y), (x + 1, y + 1))), []))
+        for i in own:
+            d = np.sqrt(((xy[i] - xy[others]) ** 2).sum(-1))
+            for k in np.flatnonzero(d <= tol).tolist():
+                if others[k] != i:
+                    found[min(i, int(others[k])), max(i, int(others[k]))] = float(d[k])
+    return found
+
+
+def merged(xy: np.ndarray, tol: float) -> np.ndarray:
+    """Labels by complete linkage at tol, each the least place of its cluster. Only pairs that may still merge are held: two clusters of which some members are over tol apart never do."""
+    pairs = near_pairs(xy, tol)
+    beside: list[dict[int, float]] = [{} for _ in xy]
+    for (i, j), d in pairs.items():
+        beside[i][j] = beside[j][i] = d
+    heap = [(d, i, j) for (i, j), d in pairs.items()]
+    heapq.heapify(heap)
+    into = list(range(len(xy)))
+    while heap:
+        d, a, b = heapq.heappop(heap)
+        if into[a] != a or into[b] != b or beside[a].get(b) != d:
+            continue
+        into[b] = a
+        both = {c: max(x, beside[b][c]) for c, x in beside[a].items() if c in beside[b]}
+        for old in (a, b):
+            for c in beside[old]:
+                beside[c].pop(old, None)
+        beside[a], beside[b] = both, {}
+        for c, x in both.items():
+            beside[c][a] = x
+            heapq.heappush(heap, (x, min(a, c), max(a, c)))
+    for i in range(len(into)):
+        into[i] = into[into[i]]
+    return np.array(into, int)
+
+
+def complete_linkage(points: DataFrame, group: str, tol: float, most: int = 1_000_000) -> DataFrame:
+    """(group, id, cluster): merges the nearest clusters while their farthest points are within tol; a cluster is named by its least id.
+
+    A task holds the pairs of its group that are within tol, not a matrix of all.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         check_size(len(frame), most, "complete_linkage")
         frame = frame.sort_values("id")
-        ids, xy = frame["id"].to_numpy(), frame[["x", "y"]].to_numpy(float)
-        d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
-        np.fill_diagonal(d, np.inf)
-        label = np.arange(len(ids))
-        while d.size and d.min() <= tol:
-            a, b = sorted(np.unravel_index(np.argmin(d), d.shape))
-            d[a] = d[:, a] = np.maximum(d[a], d[b])
-            d[b] = d[:, b] = np.inf
-            d[a, a] = np.inf
-            label[label == b] = a
-        return pd.DataFrame({group: frame[group], "id": ids, "cluster": ids[label]})
+        ids = frame["id"].to_numpy()
+        return pd.DataFrame({group: frame[group], "id": ids, "cluster": ids[merged(frame[["x", "y"]].to_numpy(float), tol)]})
 
     types = dict(points.dtypes)
     return points.groupBy(group).applyInPandas(run, f"`{group}` {types[group]}, id {types['id']}, cluster {types['id']}")
