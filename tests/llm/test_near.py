@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tidewell.llm import near
 
@@ -65,3 +67,61 @@ def test_large_group_of_near_copies(spark):
     docs = [(i, " ".join([*own[:60], *(str(r.random()) for _ in range(1)), *own[60:]])) for i in range(1500)]
     table = spark.createDataFrame([(d, t, "x", "y") for d, t in docs], ROWS)
     assert [x["doc_id"] for x in near.drop_near_duplicates(table).collect()] == [0]
+
+
+def test_a_group_on_both_sides_of_the_similarity_makes_no_square_of_candidates(spark, monkeypatch):
+    r = random.Random(9)
+    own = [str(r.random()) for _ in range(150)]
+    docs = []
+    for i in range(500):
+        copy = list(own)
+        for at in r.sample(range(len(own)), r.randint(1, 9)):
+            copy[at] = str(r.random())
+        docs.append((i, " ".join(copy)))
+    made, keep = [], near.keep
+
+    def counted(df, name):
+        kept = keep(df, name)
+        made.append((name, kept.count()))
+        return kept
+
+    monkeypatch.setattr(near, "keep", counted)
+    want, pairs = kept_by_brute_force(docs)
+    assert 1000 < pairs < 500 * 499 / 4 and len(want) > 10
+    found = near.near_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(x["doc_id"] for x in found if x["doc_id"] == x["component_id"]) == want
+    members = dict(made)["near-shards"]
+    assert max(n for name, n in made if name == "near-candidates") <= members  # a shard makes fewer links than it has rows
+
+
+def test_sketches_rule_out_no_pair_of_enough_similarity():
+    random_ = np.random.default_rng(3)
+    base = random_.integers(0, 1 << 63, 900).astype(np.uint64)
+    rows, sets = [], []
+    for k in range(120):
+        size = int(random_.integers(1, 900)) if k % 2 else 600
+        own = np.unique(np.concatenate((base[: size - size // 8], random_.integers(0, 1 << 63, int(random_.integers(0, size // 4 + 1)) + 1).astype(np.uint64))))
+        sets.append(own)
+        rows.append((k, near.wide_fingerprint(own), k, len(own), [k + 1] if k % 10 == 0 else None, near.sketch(own)))
+    i, j = np.triu_indices(len(rows), 1)
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    size = np.array([len(x) for x in sets])
+    similar = common >= 0.8 * (size[i] + size[j] - common) - 1e-9
+    open_ = near.may_be_similar(rows, i, j, size, 0.8)
+    fits = np.minimum(size[i], size[j]) >= 0.8 * np.maximum(size[i], size[j]) - 1e-9
+    assert similar.sum() > 50 and open_[similar].all() and (open_ & fits).sum() < 2 * similar.sum()
+    every = {(a, b) for a, b in near.links_left(rows, rows, 0.8, False)}
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(rows[a][1], rows[b][1], strict=True))
+    assert every == {(a, b) for a, b, o, f in zip(i.tolist(), j.tolist(), open_, fits, strict=True) if o and f and apart(a, b) <= near.RADIUS and not (a % 10 == 0 and b == a + 1)}
+    some = near.links_left(rows, rows, 0.8, True)
+    parts = near.links_left(rows[:50], rows[50:], 0.8, False)
+    assert {(a, b) for a, b in parts} == {(a, b) for a, b in every if a < 50 <= b}
+
+    def roots(links):
+        root = list(range(len(rows)))
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = [y if z == x else z for z in root]
+        return {frozenset(k for k in range(len(rows)) if root[k] == z) for z in root}
+
+    assert roots(some) == roots(every) and len(some) == len(rows) - len(roots(every))

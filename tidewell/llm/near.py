@@ -3,14 +3,17 @@
 At 0.8 each bit of two texts' fingerprints agrees with a chance of about AGREE, so one of 64 bits is too coarse: here a
 fingerprint has 256 bits. Shards are keyed by a few of them; so many choices of bits are tried that a pair at 0.8 misses all
 shards with a chance of MISS at most. Each shard's BK-tree is searched within RADIUS, and each link found is confirmed on the
-whole sets of shingles. The first search gives only as many links as join a shard's clusters; where one of those isn't
-confirmed, its shard is searched again for all links between texts that the confirmed ones haven't joined.
+whole sets of shingles. A search gives only as many links as join a shard's clusters, so they number at most its rows. Where
+one of those isn't confirmed, its shard is searched again, up to ROUNDS times, for links between texts that the confirmed ones
+haven't joined; these searches also compare sketches of the sets, which rule out no pair of enough similarity. What is refused
+even then is searched for all links that are left.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from .graph import connected_components
 from .shared import join_heavy, keep
 from .simhash import search_shards
 
-BITS, RADIUS, AGREE, MISS = 256, 72, 0.82, 0.03
+BITS, RADIUS, AGREE, MISS, ROUNDS = 256, 72, 0.82, 0.03, 3
 MIXERS = [int(x) | 1 for x in np.random.default_rng(42).integers(0, 1 << 62, BITS // 64)]
 
 
@@ -65,8 +68,90 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, node long, size int, fp binary")
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parity of the number of members by their low bits, in eight bits or more for each: two sketches differ in no more bits than the sets in members."""
+    bits = max(512, 1 << (8 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """A row for each sketch, as it would be with `size` bytes."""
+    out = np.zeros((len(sketches), size // 8), np.uint64)
+    for row, x in zip(out, sketches, strict=True):
+        row[:] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0)
+    return out
+
+
+def may_be_similar(rows: list[tuple], i: np.ndarray, j: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sketches (last in each row) leave it open that i and j have enough similarity."""
+    bytes_ = np.array([len(x[-1]) for x in rows])
+    least = np.minimum(bytes_[i], bytes_[j])
+    most = (size[i] + size[j]) * (1 - similarity) / (1 + similarity) + 1e-6
+    out = np.zeros(len(i), bool)
+    for n in np.unique(least).tolist():
+        own = np.flatnonzero(least == n)
+        named, which = np.unique(np.concatenate((i[own], j[own])), return_inverse=True)
+        x = folded([rows[k][-1] for k in named.tolist()], n)
+        for a in range(0, len(own), max(1, (1 << 24) // n)):
+            part = slice(a, a + max(1, (1 << 24) // n))
+            differ = np.bitwise_count(x[which[: len(own)][part]] ^ x[which[len(own) :][part]]).sum(axis=1, dtype=np.int64)
+            out[own[part]] = differ <= most[own[part]]
+    return out
+
+
+def links_left(tree: list[tuple], rest: list[tuple], similarity: float, spanning: bool) -> list[tuple[int, int]]:
+    """Links between different groups that fingerprints, sizes and sketches leave open and that weren't tried, numbered as spanning_links does.
+
+    Rows: node, fp, group, size, tried (nodes, or none), sketch. spanning: only so many as join the groups that all join.
+    """
+    both = tree if rest is tree else [*tree, *rest]
+    shift = len(both) - len(rest)
+    fp = np.frombuffer(b"".join(x[1] for x in both), np.uint64).reshape(-1, BITS // 64)
+    group, size = (np.array([x[c] for x in both], np.int64) for c in (2, 3))
+    at = {x[0]: k for k, x in enumerate(rest)}
+    known = {x[0]: k for k, x in enumerate(tree)}
+    tried = [(k, at[b]) for k, x in enumerate(tree) for b in x[4] or () if b in at] + [(known[b], k) for k, x in enumerate(rest) for b in x[4] or () if b in known]
+    tried = np.array(sorted(tried), np.int64).reshape(-1, 2)
+    links = []
+    for a in range(0, len(tree), 64):
+        i = np.arange(a, min(a + 64, len(tree)))
+        apart = np.zeros((len(i), len(rest)), np.int16)
+        for w in range(fp.shape[1]):
+            apart += np.bitwise_count(fp[i, None, w] ^ fp[None, shift:, w])
+        small, large = np.minimum(size[i, None], size[None, shift:]), np.maximum(size[i, None], size[None, shift:])
+        near = (apart <= RADIUS) & (group[i, None] != group[None, shift:]) & (small >= similarity * large - 1e-9)
+        own = tried[np.searchsorted(tried[:, 0], a) : np.searchsorted(tried[:, 0], a + 64)]
+        near[own[:, 0] - a, own[:, 1]] = False
+        if rest is tree:
+            near &= i[:, None] < np.arange(len(rest))
+        x, y = np.nonzero(near)
+        x, y = x + a, y + shift
+        open_ = may_be_similar(both, x, y, size, similarity)
+        x, y = x[open_], y[open_]
+        if not spanning:
+            links += zip(x.tolist(), y.tolist(), strict=True)
+            continue
+        while x.size:
+            # Each group's first link to a smaller one joins it to that one.
+            low, high = np.minimum(group[x], group[y]), np.maximum(group[x], group[y])
+            joined, first = np.unique(high, return_index=True)
+            links += zip(x[first].tolist(), y[first].tolist(), strict=True)
+            to = low[first]
+            while True:
+                spot = np.minimum(np.searchsorted(joined, to), len(joined) - 1)
+                further = np.where(joined[spot] == to, to[spot], to)
+                if (further == to).all():
+                    break
+                to = further
+            spot = np.minimum(np.searchsorted(joined, group), len(joined) - 1)
+            group = np.where(joined[spot] == group, to[spot], group)
+            open_ = group[x] != group[y]
+            x, y = x[open_], y[open_]
+    return links
+
+
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """docs: text. (node, members array<long>), one row for each set."""
+    """docs: text. (node, members array<long>, sketch), one row for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,9 +159,9 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, found)])
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
             node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["node", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array([sketch(x) for x in found], pa.binary())], names=["node", "members", "sketch"])
 
-    return docs.mapInArrow(run, "node long, members array<long>").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "node long, members array<long>, sketch binary").dropDuplicates(["node"])
 
 
 def key_of(id_col: str):
@@ -118,9 +203,7 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, sh
     rows = keep(signatures(docs, width, id_col, text_col), "signatures")
     nodes = keep(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("rows")), "near-nodes")
     members = keep(deal(nodes), "near-shards")
-    alone = F.lit(0).cast("long").alias("group")
-    found = keep(search_shards(members.select("shard", "node", "fp", alone), RADIUS, shard_rows), "near-candidates")
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = keep(search_shards(members, RADIUS, shard_rows), "near-candidates")
 
     # Sets of the texts that some link names.
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
@@ -137,15 +220,24 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, sh
         common = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("sum"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
         return common.where(F.col("common") >= F.lit(similarity) * (F.col("sum") - F.col("common")) - 1e-9).select("a", "b")
 
-    links = keep(confirmed(pairs), "near-links")
-    undirected = links.union(links.select("b", "a"))
-    refused = keep(found.join(undirected, ["a", "b"], "left_anti").select("shard").distinct(), "refused-shards")
-    roots = connected_components(links)
-    if not refused.isEmpty():
-        again = members.join(refused, "shard", "left_semi").join(roots, "node", "left").select("shard", "node", "fp", F.coalesce("root", "node").alias("group"))
-        more = search_shards(again, RADIUS, shard_rows, spanning=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = keep(links.union(confirmed(more.join(pairs, ["a", "b"], "left_anti"))), "near-links")
+    # A node without a link in a shard has none within the radius there.
+    met = found.select("shard", F.explode(F.array("a", "b")).alias("node")).distinct()
+    links, tried = None, None
+    for left in range(ROUNDS, -1, -1):
+        found = found.select("shard", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        new = confirmed(found.select("a", "b").distinct())
+        links = keep(new if links is None else links.union(new), "near-links")
         roots = connected_components(links)
+        refused = keep(found.join(links, ["a", "b"], "left_anti").select("shard", "a", "b"), "refused")
+        if left == 0 or refused.isEmpty():
+            break
+        tried = refused if tried is None else tried.union(refused)
+        shards = refused.select("shard").distinct()
+        again = met.join(shards, "shard", "left_semi").join(tried.groupBy("shard", F.col("a").alias("node")).agg(F.collect_set("b").alias("tried")), ["shard", "node"], "left")
+        again = again.join(nodes.select("node", "fp", "size"), "node").join(sets.select("node", "sketch"), "node").join(roots, "node", "left")
+        again = again.select("shard", "node", "fp", F.coalesce("root", "node").alias("group"), "size", "tried", "sketch")
+        find = partial(links_left, similarity=similarity, spanning=left > 1)
+        found = keep(search_shards(again, RADIUS, shard_rows, ("group", "size", "tried", "sketch"), find), "near-candidates")
     named = keep(nodes.join(roots, "node", "left").select("node", "least_id", "rows", F.coalesce("root", "node").alias("root")), "near-rooted")
     least = keep(named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "near-least")
     named = keep(join_heavy(named.select("root", "node", "rows"), least, "root", "nodes").select("node", "component_id", "rows"), "near-named")

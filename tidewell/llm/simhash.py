@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,14 +136,6 @@ def spanning_links(tree_values: list[int], queries: list[int], radius: int) -> l
     return links
 
 
-def all_links(tree_values: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
-    """All links between the two lists (or inside tree_values, if they are the same), numbered as spanning_links does."""
-    tree = grown(tree_values)
-    if queries is tree_values:
-        return [(i, j) for i, v in enumerate(queries) for j in tree.near(v, radius) if i < j]
-    return [(i + len(tree_values), j) for i, v in enumerate(queries) for j in tree.near(v, radius)]
-
-
 def shard_masks(n: int, radius: int) -> list[int]:
     """Masks of the choices of blocks that two fingerprints within the radius may agree on.
 
@@ -163,38 +155,40 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def search_shards(members: DataFrame, radius: int, shard_rows: int, spanning: bool = True) -> DataFrame:
-    """members: shard long, node long, fp binary, group long. (shard, a, b): links of nodes that meet in a shard within the radius.
+def search_shards(members: DataFrame, radius: int, shard_rows: int, more: tuple[str, ...] = (), find: Callable | None = None) -> DataFrame:
+    """members: shard long, node long, fp binary. (shard, a, b): links of nodes that meet in a shard within the radius.
 
     Each shard builds a BK-tree and searches it for its own rows. One over shard_rows is cut into several trees, and each is
-    searched for each part of the shard's rows, in tasks of their own. spanning: only so many links as join what all of
-    them join; else all those between different groups.
+    searched for each part of the shard's rows, in tasks of their own. The links are so many as join what all of them join.
+    find(tree, rest): another search, given rows (node, fp, *more); rest is the same list where a part meets itself. It
+    returns links as spanning_links does.
     """
     large = members.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
     # A shard of one tree has parts = 1; of more, each part meets each: pair (i, j), i <= j, has the tree of i and the rows of j.
     placed = members.join(keep(large, "large-shards"), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     placed = placed.withColumn("mine", mine).select(
-        "shard", "node", "fp", "group", "mine", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))).alias("pair")
+        "shard", "node", "fp", *more, "mine", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))).alias("pair")
     )
-    dealt = placed.select("shard", (F.col("pair.i") * 1_000_000 + F.col("pair.j")).cast("long").alias("pair"), (F.col("mine") == F.col("pair.i")).alias("tree"), "node", "fp", "group")
+    dealt = placed.select("shard", (F.col("pair.i") * 1_000_000 + F.col("pair.j")).cast("long").alias("pair"), (F.col("mine") == F.col("pair.i")).alias("tree"), "node", "fp", *more)
     dealt = dealt.repartition("shard", "pair").sortWithinPartitions("shard", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, out = None, [], []
 
         def search() -> None:
-            """held: (in the tree, node, fp, group) of one pair of parts of a shard."""
+            """held: (in the tree, node, fp, *more) of one pair of parts of a shard."""
             if len(held) < 2:
                 return
-            tree = [x for x in held if x[0]]
-            rest = [x for x in held if not x[0]]
-            values, others = ([int.from_bytes(x[2], "little") for x in own] for own in (tree, rest))
-            same = at[1] % 1_000_001 == 0  # i == j
-            both = [*tree, *rest]
-            for i, j in (spanning_links if spanning else all_links)(values, values if same else others, radius):
-                if spanning or both[i][3] != both[j][3]:
-                    out.append((at[0], both[i][1], both[j][1]))
+            tree = [x[1:] for x in held if x[0]]
+            rest = tree if at[1] % 1_000_001 == 0 else [x[1:] for x in held if not x[0]]  # i == j: the same part
+            if find is None:
+                values = [int.from_bytes(x[1], "little") for x in tree]
+                links = spanning_links(values, values if rest is tree else [int.from_bytes(x[1], "little") for x in rest], radius)
+            else:
+                links = find(tree, rest)
+            both = tree if rest is tree else [*tree, *rest]
+            out.extend((at[0], both[i][0], both[j][0]) for i, j in links)
 
         def emit() -> pa.RecordBatch:
             ends = np.array(out, np.int64).reshape(-1, 3)
@@ -202,7 +196,7 @@ def search_shards(members: DataFrame, radius: int, shard_rows: int, spanning: bo
             return pa.RecordBatch.from_arrays([pa.array(ends[:, c].copy()) for c in range(3)], names=["shard", "a", "b"])
 
         for batch in batches:
-            shard, pair, group = (batch.column(c).to_numpy() for c in (0, 1, 5))
+            shard, pair = (batch.column(c).to_numpy() for c in (0, 1))
             cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (pair[1:] != pair[:-1])) + 1
             # Most shards hold one row: only those of several, and the batch's first and last, are looked at.
             bounds = np.concatenate(([0], cuts, [len(shard)]))
@@ -215,7 +209,7 @@ def search_shards(members: DataFrame, radius: int, shard_rows: int, spanning: bo
                         search()
                     at, held = key, []
                 part = batch.slice(a, b - a)
-                held += zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), group[a:b].tolist(), strict=True)
+                held += zip(*(part.column(c).to_pylist() for c in range(2, part.num_columns)), strict=True)
             if len(out) > 100_000:
                 yield emit()
         if at is not None:
@@ -229,7 +223,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, shard_rows: int = 20
     """(a, b) longs: links between distinct fingerprints that join just what all pairs within the radius join."""
     masks = shard_masks(distinct.count(), radius)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
-    members = distinct.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.lit(0).cast("long").alias("group"), F.explode(keys).alias("shard"))
+    members = distinct.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.explode(keys).alias("shard"))
     return search_shards(members, radius, shard_rows).select("a", "b")
 
 
