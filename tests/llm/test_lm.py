@@ -139,6 +139,22 @@ def test_tables_by_brute_force(spark):
     assert all(abs(int(model.tables.across[s]) - logit(across[s, 0], across[s, 1])) <= 1 for s in {s for s, _ in across})
 
 
+@pytest.mark.parametrize("times", [1, 1 << 33])
+def test_tables_take_all_pieces_beyond_their_bound(spark, times):
+    """More pieces than the table of the piece so far has room for, and counts beyond 32 bits: none is left out."""
+    bits, random = 15, np.random.default_rng(11)
+    train = Counter({bytes(random.integers(97, 123, random.integers(3, 9)).astype(np.uint8)): times * int(random.integers(1, 4)) for _ in range(3000)})
+    table = spark.createDataFrame([(p.decode(), False, n) for p, n in train.items()], "piece string, last boolean, train long").repartition(2)
+    code = lm.learn_code(table, 16)
+    got = lm.learn_within(table, code, bits)
+    far = Counter()
+    for p, n in train.items():
+        for _, _, bit, slots in decisions(code, p + b" ", bits):
+            far[slots[2], bit] += n
+    assert len({s for s, _ in far}) > 1 << bits - 1
+    assert all(abs(int(got.within[2][s]) - logit(far[s, 0], far[s, 1])) <= 1 for s in {s for s, _ in far})
+
+
 def toy(seed=1):
     random = np.random.default_rng(seed)
     code = lm.build_code({0x2020: random.random(256), 0x2061: random.random(256) ** 4})

@@ -262,7 +262,7 @@ class Memo:
     code: Code
     tables: Tables
     logs: dict[bytes, float] = field(default_factory=dict)
-    most: int = 4 << 20
+    most: int = 1 << 20
 
     def __post_init__(self) -> None:
         self.clear()
@@ -408,7 +408,7 @@ def count_pieces(docs: DataFrame, modulus: int, held: int, slice_bytes: int, kep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, bytes_, size, counts = Index(), Store(np.uint8), Store(np.int64), np.zeros((2, kept * 2), np.int64)
-        firsts, held_lines = np.zeros(LINES * 256, np.uint32), []
+        firsts = np.zeros(LINES * 256, np.uint32)
 
         def emit() -> pa.RecordBatch:
             sizes, n = size.rows[: size.n], size.n
@@ -432,17 +432,12 @@ def count_pieces(docs: DataFrame, modulus: int, held: int, slice_bytes: int, kep
                 counts = np.concatenate((counts, np.zeros((2, size.n), np.int64)), axis=1)
             for kind, mine in enumerate((own, ~own)):
                 counts[kind, : size.n] += np.bincount(ids[mine], minlength=size.n)
-            held_lines.append((p.line[own] * 256 + p.room[p.begin[own]]).astype(np.int32))
-            if sum(map(len, held_lines)) > 1 << 22:
-                firsts += np.bincount(np.concatenate(held_lines), minlength=len(firsts)).astype(np.uint32)
-                held_lines.clear()
+            np.add.at(firsts, p.line[own] * 256 + p.room[p.begin[own]], np.uint32(1))
             if size.n > kept:
                 yield emit()
                 index = Index()
         if size.n:
             yield emit()
-        for x in held_lines:
-            np.add.at(firsts, x, np.uint32(1))
         for rows in blocks([(0, firsts)]):
             n = rows.num_rows
             yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in (pa.string(), pa.bool_(), pa.int64(), pa.int64())), *rows.columns], names=["piece", "last", "train", "total", *rows.schema.names])
@@ -469,17 +464,12 @@ def learn_code(pieces: DataFrame, codes: int) -> Code:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in slices(batches, 0, 1 << 21):
+        for batch in slices(batches, 0, 1 << 18):
             s = Symbols(*columns_of(batch))
             key = np.concatenate((held, s.two * 256 + s.byte))
             n = np.concatenate((many, np.repeat(batch.column(2).to_numpy(), s.size)))
-            full = np.bincount(key, n, 1 << 24) if len(key) > 1 << 20 else None
-            if full is not None:
-                held = np.flatnonzero(full)
-                many = full[held].astype(np.int64)
-            else:
-                held, which = np.unique(key, return_inverse=True)
-                many = np.bincount(which, n).astype(np.int64)
+            held, which = np.unique(key, return_inverse=True)
+            many = np.bincount(which, n).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(held >> 8), pa.array(held & 255), pa.array(many)], names=["two", "byte", "n"])
 
     after = keep(pieces.select("piece", "last", "train").mapInArrow(run, "two long, byte long, n long").groupBy("two", "byte").agg(F.sum("n").alias("n")), "bytes-after")
@@ -554,33 +544,25 @@ def learn_within(pieces: DataFrame, code: Code, bits: int) -> Tables:
     sizes = {k: -(-n * 2 // BLOCK) * BLOCK for k, n in {0: code.nodes, 1: 1 << bits - 2, 2: 1 << bits - 1, 3: 1 << bits}.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {k: np.zeros(n) for k, n in sizes.items()}
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> None:
-            n = np.concatenate([x[4] for x in held])
-            for k, own in counts.items():
-                places, weights = np.concatenate([x[k] for x in held]), n * (n >= least) if k == 3 else n
-                for a in range(0, len(own), 1 << 21):  # some of the table at a time, for less memory
-                    some = places >> 21 == a >> 21
-                    own[a : a + (1 << 21)] += np.bincount(places[some] - a, weights[some], len(own[a : a + (1 << 21)]))
-            held.clear()
-
-        for batch in slices(batches, 0, 1 << 19):
+        counts, total = {k: np.zeros(n, np.uint32) for k, n in sizes.items()}, 0
+        for batch in slices(batches, 0, 1 << 17):
             s = Symbols(*columns_of(batch), sent.value)
-            places = [s.node, *(s.slots(k, b) for k, b in enumerate((bits - 2, bits - 1, bits)))]
-            held.append((*((x * 2 + s.bit).astype(np.int32) for x in places), np.repeat(batch.column(2).to_numpy().astype(np.float64), s.decisions)))
-            if len(held) == 2:
-                flush()
-        if held:
-            flush()
+            weights = np.repeat(batch.column(2).to_numpy(), s.decisions)
+            total += int(weights.sum())
+            if total >= 1 << 32:  # so that no count overflows
+                yield from blocks(list(counts.items()))
+                total = int(weights.sum())
+                counts = {k: np.zeros(n, np.uint32 if total < 1 << 32 else np.int64) for k, n in sizes.items()}
+            weights = weights.astype(counts[0].dtype)
+            np.add.at(counts[0], s.node * 2 + s.bit, weights)
+            for k, b in enumerate((bits - 2, bits - 1, bits)):
+                np.add.at(counts[k + 1], s.slots(k, b) * 2 + s.bit, weights)  # in place, for less memory
         yield from blocks(list(counts.items()))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch_of([(k, b, part, logits(*unpack(packed).reshape(-1, 2).T).tobytes()) for k, b, part, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
 
-    least = least_count(pieces, "train", F.octet_length("piece") * 3, 1 << bits - 1) or 1 << 62  # a byte takes about three decisions
     few = max(1, pieces.rdd.getNumPartitions() // 4)  # a task's tables are as large for few pieces as for many
     got = gathered(summed(pieces.select("piece", "last", "train").coalesce(few).mapInArrow(run, COUNTS)).mapInArrow(weigh, COUNTS), {k: n // 2 for k, n in sizes.items()})
     return Tables(got[0], [got[1], got[2], got[3]])
@@ -660,8 +642,8 @@ def score_texts(
     counts as the text 'None'. Repeated rows are learnt from, and scored, each time. An empty table gives no rows.
 
     At most `frequent` of the commonest words go to the tasks; the others' counts are joined. Tables have two slots for each
-    byte of distinct training pieces, up to 2^most_bits, so that a task's memory is bounded. The table of the piece so far
-    takes the commonest pieces, as many as fill half of it; those of three and five bytes take all.
+    byte of distinct training pieces, up to 2^most_bits, so that a task's memory is bounded. Each takes all pieces; beyond the
+    bound contexts that meet in a slot share its counts.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
