@@ -280,8 +280,8 @@ class Memo:
             self.clear()
         ids, new = self.index.number_all(p)
         lower = p.room.tobytes().lower() if new.size else b""
-        for i in range(0, len(new), 10_000):
-            self.add(p, new[i : i + 10_000], lower)
+        for i in range(0, len(new), 2_000):
+            self.add(p, new[i : i + 2_000], lower)
         return ids
 
     def add(self, p: Pieces, new: np.ndarray, lower: bytes) -> None:
@@ -320,8 +320,8 @@ class Memo:
         out = self.cost.rows[ids, point]
         if np.isnan(out[:, 0]).any():
             pairs = np.unique(ids[np.isnan(out[:, 0])] * len(GRID) + point[np.isnan(out[:, 0])])
-            for a in range(0, len(pairs), 20_000):
-                self.work_out(pairs[a : a + 20_000] // len(GRID), pairs[a : a + 20_000] % len(GRID))
+            for a in range(0, len(pairs), 4_000):
+                self.work_out(pairs[a : a + 4_000] // len(GRID), pairs[a : a + 4_000] % len(GRID))
             out = self.cost.rows[ids, point]
         return out
 
@@ -656,7 +656,7 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, code, tables = sent.value
         memo = Memo(code, tables, logs)
-        for batch in slices(batches, 1, slice_bytes):
+        for batch in slices(batches, 1, slice_bytes // 4):  # for less memory
             p = Pieces(*raw(batch.column(1)))
             ids = memo.ids(p)
             nats = score_pieces(memo, p, ids, rate)
