@@ -125,3 +125,30 @@ def test_sketches_rule_out_no_pair_of_enough_similarity():
         return {frozenset(k for k in range(len(rows)) if root[k] == z) for z in root}
 
     assert roots(some) == roots(every) and len(some) == len(rows) - len(roots(every))
+
+
+def test_later_searches_read_written_rows_of_shards_with_something_left_to_join(spark, monkeypatch):
+    r = random.Random(10)
+    own = [str(r.random()) for _ in range(150)]
+    changed = lambda at: [str(r.random()) if i in at else w for i, w in enumerate(own)]
+    a, b, c = changed({20, 70}), own, changed({40, 110})
+    docs = [(i, " ".join(t)) for i, t in enumerate([a, b, c])]
+    assert kept_by_brute_force(docs) == ([0], 2)  # a and c are apart
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    node = {x["id"]: x["node"] for x in near.signatures(table, 5, "doc_id", "text").collect()}
+    asked, search = [], near.search_shards
+
+    def fixed(links):
+        def find(members, radius, rows, *more):
+            asked.append(members)
+            if more:
+                return search(members, radius, rows, *more)
+            return spark.createDataFrame([(s, node[x], node[y]) for s, x, y in links], "shard long, a long, b long")
+
+        asked.clear()
+        monkeypatch.setattr(near, "search_shards", find)
+        return {x["component_id"] for x in near.near_components(table).collect()}
+
+    assert fixed([(1, 0, 1), (1, 0, 2), (2, 1, 2)]) == {0} and len(asked) == 1  # the refused link's ends are joined by others
+    assert fixed([(1, 0, 1), (1, 0, 2)]) == {0} and len(asked) == 2
+    assert "Join" not in asked[1]._jdf.queryExecution().toString() and sorted(x["node"] for x in asked[1].collect()) == sorted(node.values())

@@ -4,8 +4,8 @@ At 0.8 each bit of two texts' fingerprints agrees with a chance of about AGREE,
 fingerprint has 256 bits. Shards are keyed by a few of them; so many choices of bits are tried that a pair at 0.8 misses all
 shards with a chance of MISS at most. Each shard's BK-tree is searched within RADIUS, and each link found is confirmed on the
 whole sets of shingles. A search gives only as many links as join a shard's clusters, so they number at most its rows. Where
-one of those isn't confirmed, its shard is searched again, up to ROUNDS times, for links between texts that the confirmed ones
-haven't joined; these searches also compare sketches of the sets, which rule out no pair of enough similarity. What is refused
+one of those isn't confirmed, and its ends aren't joined by others, its shard is searched again, up to ROUNDS times, for links
+between texts that the confirmed ones haven't joined; these searches also compare sketches of the sets, which rule out no pair of enough similarity. What is refused
 even then is searched for all links that are left.
 """
 
@@ -228,14 +228,17 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, sh
         new = confirmed(found.select("a", "b").distinct())
         links = keep(new if links is None else links.union(new), "near-links")
         roots = connected_components(links)
-        refused = keep(found.join(links, ["a", "b"], "left_anti").select("shard", "a", "b"), "refused")
+        # What else joins a refused link's ends leaves nothing to find between them, and links join what a shard's search met.
+        left_out = found.join(links, ["a", "b"], "left_anti").join(roots.select(F.col("node").alias("a"), F.col("root").alias("of_a")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("of_b")), "b", "left")
+        refused = keep(left_out.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("shard", "a", "b"), "refused")
         if left == 0 or refused.isEmpty():
             break
         tried = refused if tried is None else tried.union(refused)
         shards = refused.select("shard").distinct()
         again = met.join(shards, "shard", "left_semi").join(tried.groupBy("shard", F.col("a").alias("node")).agg(F.collect_set("b").alias("tried")), ["shard", "node"], "left")
         again = again.join(nodes.select("node", "fp", "size"), "node").join(sets.select("node", "sketch"), "node").join(roots, "node", "left")
-        again = again.select("shard", "node", "fp", F.coalesce("root", "node").alias("group"), "size", "tried", "sketch")
+        # Written, as a search reads its rows twice.
+        again = keep(again.select("shard", "node", "fp", F.coalesce("root", "node").alias("group"), "size", "tried", "sketch"), "near-again")
         find = partial(links_left, similarity=similarity, spanning=left > 1)
         found = keep(search_shards(again, RADIUS, shard_rows, ("group", "size", "tried", "sketch"), find), "near-candidates")
     named = keep(nodes.join(roots, "node", "left").select("node", "least_id", "rows", F.coalesce("root", "node").alias("root")), "near-rooted")
