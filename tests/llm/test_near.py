@@ -152,3 +152,32 @@ def test_later_searches_read_written_rows_of_shards_with_something_left_to_join(
     assert fixed([(1, 0, 1), (1, 0, 2), (2, 1, 2)]) == {0} and len(asked) == 1  # the refused link's ends are joined by others
     assert fixed([(1, 0, 1), (1, 0, 2)]) == {0} and len(asked) == 2
     assert "Join" not in asked[1]._jdf.queryExecution().toString() and sorted(x["node"] for x in asked[1].collect()) == sorted(node.values())
+
+
+def test_later_searches_take_each_text_once(spark, monkeypatch):
+    r = random.Random(11)
+    docs = []
+    for k in range(2):  # two groups, apart from each other
+        own = [str(r.random()) for _ in range(150)]
+        for i in range(150):
+            copy = list(own)
+            for at in r.sample(range(len(own)), r.randint(1, 9)):
+                copy[at] = str(r.random())
+            docs.append((k * 150 + i, " ".join(copy)))
+    again, keep = [], near.keep
+
+    def seen(df, name):
+        kept = keep(df, name)
+        if name == "near-again":
+            again.append([(x["shard"], x["node"]) for x in kept.collect()])
+        return kept
+
+    monkeypatch.setattr(near, "keep", seen)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want, _ = kept_by_brute_force(docs)
+    for shard_rows in (2048, 40):
+        again.clear()
+        found = near.near_components(table, shard_rows=shard_rows).collect()
+        assert sorted(x["doc_id"] for x in found if x["doc_id"] == x["component_id"]) == want
+        assert again and all(len({node for _, node in rows}) == len(rows) <= len(docs) for rows in again)
+        assert len({shard for shard, _ in again[0]}) >= 2  # what nothing links isn't searched together

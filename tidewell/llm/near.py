@@ -4,9 +4,11 @@ At 0.8 each bit of two texts' fingerprints agrees with a chance of about AGREE,
 fingerprint has 256 bits. Shards are keyed by a few of them; so many choices of bits are tried that a pair at 0.8 misses all
 shards with a chance of MISS at most. Each shard's BK-tree is searched within RADIUS, and each link found is confirmed on the
 whole sets of shingles. A search gives only as many links as join a shard's clusters, so they number at most its rows. Where
-one of those isn't confirmed, and its ends aren't joined by others, its shard is searched again, up to ROUNDS times, for links
-between texts that the confirmed ones haven't joined; these searches also compare sketches of the sets, which rule out no pair of enough similarity. What is refused
-even then is searched for all links that are left.
+one of those isn't confirmed, and its ends aren't joined by others, what the two ends' groups are part of is searched again: all
+groups that such refused links join, whose texts stand there once each and not once for each choice of bits. Each pair that a
+shard left open is within one of these. Up to ROUNDS such searches give links between texts that the confirmed ones haven't
+joined; they also compare sketches of the sets, which rule out no pair of enough similarity. What is refused even then is searched
+for all links that are left.
 """
 
 from __future__ import annotations
@@ -220,25 +222,29 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, sh
         common = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("sum"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
         return common.where(F.col("common") >= F.lit(similarity) * (F.col("sum") - F.col("common")) - 1e-9).select("a", "b")
 
-    # A node without a link in a shard has none within the radius there.
-    met = found.select("shard", F.explode(F.array("a", "b")).alias("node")).distinct()
+    # What later searches need of each text that has a link; one without has none within the radius in any shard.
+    met = None
     links, tried = None, None
     for left in range(ROUNDS, -1, -1):
-        found = found.select("shard", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = confirmed(found.select("a", "b").distinct())
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = confirmed(found)
         links = keep(new if links is None else links.union(new), "near-links")
         roots = connected_components(links)
-        # What else joins a refused link's ends leaves nothing to find between them, and links join what a shard's search met.
+        # What else joins a refused link's ends leaves nothing to find between them.
         left_out = found.join(links, ["a", "b"], "left_anti").join(roots.select(F.col("node").alias("a"), F.col("root").alias("of_a")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("of_b")), "b", "left")
-        refused = keep(left_out.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("shard", "a", "b"), "refused")
+        left_out = left_out.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+        refused = keep(left_out.where("of_a != of_b"), "refused")
         if left == 0 or refused.isEmpty():
             break
-        tried = refused if tried is None else tried.union(refused)
-        shards = refused.select("shard").distinct()
-        again = met.join(shards, "shard", "left_semi").join(tried.groupBy("shard", F.col("a").alias("node")).agg(F.collect_set("b").alias("tried")), ["shard", "node"], "left")
-        again = again.join(nodes.select("node", "fp", "size"), "node").join(sets.select("node", "sketch"), "node").join(roots, "node", "left")
+        tried = refused.select("a", "b") if tried is None else tried.union(refused.select("a", "b"))
+        if met is None:
+            met = keep(nodes.select("node", "fp", "size").join(sets.select("node", "sketch"), "node"), "near-met")
+        # A search's links span what is within the radius, so what it left open lies among the groups that refused links join.
+        joined = connected_components(refused, "of_a", "of_b").select(F.col("node").alias("group"), F.col("root").alias("shard"))
+        again = met.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root").join(joined, "group")
+        again = again.join(tried.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried")), "node", "left")
         # Written, as a search reads its rows twice.
-        again = keep(again.select("shard", "node", "fp", F.coalesce("root", "node").alias("group"), "size", "tried", "sketch"), "near-again")
+        again = keep(again.select("shard", "node", "fp", "group", "size", "tried", "sketch"), "near-again")
         find = partial(links_left, similarity=similarity, spanning=left > 1)
         found = keep(search_shards(again, RADIUS, shard_rows, ("group", "size", "tried", "sketch"), find), "near-candidates")
     named = keep(nodes.join(roots, "node", "left").select("node", "least_id", "rows", F.coalesce("root", "node").alias("root")), "near-rooted")
