@@ -194,3 +194,33 @@ def test_index_numbers_hashes():
         known |= {x: len(known) + i for i, x in enumerate(new.tolist())}
         index.add(new)
         assert index.find(h).tolist() == [known[x] for x in h.tolist()]
+
+
+def test_a_full_memo_keeps_its_common_pieces(monkeypatch):
+    memo, added, add = toy(), [], lm.Memo.add
+    memo.most = 3000
+
+    def seen(self, p, new, *more):
+        added.extend(bytes(p.room[a : a + n]) for a, n in zip(p.begin[new].tolist(), p.size[new].tolist(), strict=True))
+        return add(self, p, new, *more)
+
+    monkeypatch.setattr(lm.Memo, "add", seen)
+    some = [" ".join(["common", f"rare{i}", "common", f"word{i}", "often"]) for i in range(400)]
+    one_by_one = [nats(memo, [t])[0] for t in some]
+    assert memo.logits.n < 3200 and len(added) > 800  # it was full many times
+    assert added.count(b"common ") == 1
+    assert one_by_one == pytest.approx(nats(toy(), some).tolist(), rel=1e-5)
+
+
+def test_words_are_found_by_their_bytes():
+    numbers = {w.encode(): float(i) for i, w in enumerate(["a", "ab", "abc", "é", "x" * 64, "b"])}
+    words = lm.Words(numbers)
+    asked = [b"abc", b"", b"c", b"b", "é".encode(), b"x" * 63, b"x" * 64, b"a", b"zzz"]
+    size = np.array([*map(len, asked)])
+    begin = np.cumsum(size) - size
+    room = np.frombuffer(b"".join(asked), np.uint8)
+    own = lm.hashes(room, begin, size)
+    assert [None if np.isnan(x) else x for x in words.find(room, begin, size, own)] == [numbers.get(w) for w in asked]
+    other = np.full(len(asked), lm.hashes(np.frombuffer(b"abc", np.uint8), np.array([0]), np.array([3]))[0])  # all hashes those of abc
+    assert [not np.isnan(x) for x in words.find(room, begin, size, other)] == [w == b"abc" for w in asked]
+    assert np.isnan(lm.Words({}).find(room, begin, size, own)).all()

@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +116,16 @@ class Pieces:
         self.line[self.first] = 0
 
 
+@cache
+def first_powers(base: int) -> np.ndarray:
+    out = np.full(1 << 16, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def powers(n: int, base: int) -> np.ndarray:
+    if n <= 1 << 16:
+        return first_powers(base)[:n]
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
@@ -190,37 +200,68 @@ class Index:
         return ids, new
 
 
+class Words:
+    """A number for each of some words, found by hash and compared byte by byte; takes less memory than a dict."""
+
+    def __init__(self, numbers: dict[bytes, float]):
+        self.numbers = np.array([*numbers.values(), np.nan])
+        self.size = np.array([*map(len, numbers), 0], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.room = np.frombuffer(b"".join(numbers), np.uint8)
+        self.index = Index()
+        self.index.add(hashes(self.room, self.begin[:-1], self.size[:-1]))
+
+    def find(self, room: np.ndarray, begin: np.ndarray, size: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+        """The stretches' numbers, nan where it has none (or where two words of it share a hash, for one of them)."""
+        at = self.index.find(hash_)
+        same = np.flatnonzero(self.size.take(at) == size)
+        at, own, size = at.take(same), begin.take(same), size.take(same)
+        other = np.flatnonzero(self.room.take(expand(self.begin.take(at), size)) != room.take(expand(own, size)))
+        at[np.searchsorted(np.cumsum(size), other, "right")] = -1
+        out = np.full(len(begin), np.nan)
+        out[same] = self.numbers.take(at)
+        return out
+
+
 class Symbols:
-    """Bytes of closed pieces with what stands before them."""
+    """Bytes of closed pieces with what stands before them. later: only decisions after a piece's first byte."""
 
-    def __init__(self, room: np.ndarray, begin: np.ndarray, size: np.ndarray, code: Code | None = None):
+    def __init__(self, room: np.ndarray, begin: np.ndarray, size: np.ndarray, code: Code | None = None, later: bool = False):
         own = np.cumsum(size + PAD) - size
-        spot = expand(own, size)
-        padded = np.full(int(own[-1] + size[-1]) if len(size) else 0, SPACE, np.uint8)
-        padded[spot] = room[expand(begin, size)]
         self.size, self.piece = size, np.repeat(np.arange(len(size)), size)
-        self.place = spot - np.repeat(own, size)
-        self.byte = padded[spot].astype(np.int64)
-        before = [padded[spot - i].astype(np.uint64) for i in range(1, PAD + 1)]
-        self.two = (before[0] + before[1] * np.uint64(256)).astype(np.int64)
+        self.place = expand(np.zeros(len(size), np.int64), size)
+        spot = self.place + own.take(self.piece)
+        padded = np.full(int(own[-1] + size[-1]) if len(size) else 0, SPACE, np.uint8)
+        padded[spot] = room.take(self.place + begin.take(self.piece))
+        # Eight bytes from five before each symbol on, turned about: the last five, nearest first, stand above the symbol's own.
+        eight = np.ndarray(len(padded), "<u8", padded.tobytes() + bytes(8), 0, (1,)).take(spot - PAD).byteswap()
+        self.byte = (eight >> np.uint64(16) & np.uint64(255)).view(np.int64)
+        five = eight >> np.uint64(24)
+        three = five & np.uint64(0xFFFFFF)
+        self.two = (five & np.uint64(0xFFFF)).view(np.int64)
         with np.errstate(over="ignore"):
-            three = before[0] | before[1] << np.uint64(8) | before[2] << np.uint64(16)
-            five = three | before[3] << np.uint64(24) | before[4] << np.uint64(32)
-            sums, start = prefix_sums(padded), np.repeat(own, size)
-            far = (sums[spot] - sums[start]) * powers(len(padded) + 1, ODD)[start] + self.place.astype(np.uint64)
+            sums = prefix_sums(padded)
+            far = (sums.take(spot) - sums.take(own).take(self.piece)) * powers(len(padded) + 1, ODD).take(own).take(self.piece) + self.place.view(np.uint64)
             self.context = [(x + np.uint64(i << 56)) * np.uint64(ODD) for i, x in enumerate((three, five, far), 1)]
         if code:
             # Of each decision, piece by piece: its symbol, node, bit.
             self.cell = code.context.take(self.two) * 256 + self.byte
             length = code.length.take(self.cell)
+            if later:
+                length *= self.place > 0
             self.decisions = np.bincount(self.piece, length, len(size)).astype(np.int64)  # of each piece
             self.symbol = np.repeat(np.arange(len(length)), length)
             flat = code.flat.take(expand(code.start.take(self.cell), length))
             self.node, self.bit = flat >> 1, flat & 1
+            self.spread = self.node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
     def slots(self, k: int, bits: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((self.context[k].take(self.symbol) + self.node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * MIX >> np.uint64(64 - bits)).astype(np.int64)
+            x = self.context[k].take(self.symbol)
+            x += self.spread
+            x *= MIX
+            x >>= np.uint64(64 - bits)
+            return x.view(np.int64)
 
 
 @dataclass
@@ -255,74 +296,108 @@ class Store:
 class Memo:
     """Pieces met so far: their tokens, and for the decisions after the first byte the logits of what happened.
 
-    logs: of one plus a frequent word's training count. Holds `most` decisions before it starts anew, without effect on
-    results.
+    logs: of one plus a frequent word's training count. Holds `most` decisions before it goes on with the pieces met most
+    often, without effect on results.
     """
 
     code: Code
     tables: Tables
-    logs: dict[bytes, float] = field(default_factory=dict)
-    most: int = 1 << 20
+    logs: Words = field(default_factory=lambda: Words({}))
+    most: int = 1 << 21
 
     def __post_init__(self) -> None:
-        self.clear()
         self.grid = np.array([REST + a * STRONGER + b * LONGER for a, b in GRID], np.float32)
-
-    def clear(self) -> None:
         self.index = Index()
+        self.hash, self.used = Store(np.uint64), Store(np.int64)  # used: how often met, halved each time that rare ones go
         self.at, self.size, self.logits = Store(np.int64), Store(np.int64), Store(np.int8, 4)
         self.cost = Store(np.float32, len(GRID), 3)  # nats, and the gradient by both directions, at each grid point; nan: not yet worked out
         self.tokens, self.base, self.known, self.odd = Store(np.int64), Store(np.float64), Store(np.int64), Store(np.bool_)
         self.rare: dict[int, str] = {}  # words that aren't frequent, by lines
 
+    def forget(self) -> None:
+        """Only pieces met more than once stay, the commonest, with half of the decisions at most."""
+        n = self.used.n
+        order = np.argsort(-self.used.rows[:n], kind="stable")
+        order = order[(np.cumsum(self.size.rows[order]) <= self.most // 2) & (self.used.rows[order] > 1)]
+        stay = np.sort(order)
+        size = self.size.rows[stay]
+        logits = self.logits.rows.view(np.int32).ravel().take(expand(self.at.rows[stay], size)).view(np.int8).reshape(-1, 4)
+        self.logits.n = 0
+        self.logits.add(logits)
+        for store in (self.hash, self.used, self.size, self.cost, self.tokens, self.base, self.known, self.odd):
+            rows, store.n = store.rows[stay], 0
+            store.add(rows)
+        self.at.n = 0
+        self.at.add(np.cumsum(size) - size)
+        self.used.rows[: len(stay)] >>= 1
+        self.rare = {i: self.rare[k] for i, k in enumerate(stay.tolist()) if k in self.rare}
+        self.index = Index()
+        self.index.add(self.hash.rows[: len(stay)])
+
     def ids(self, p: Pieces) -> np.ndarray:
         if self.logits.n > self.most:
-            self.clear()
+            self.forget()
         ids, new = self.index.number_all(p)
         lower = p.room.tobytes().lower() if new.size else b""
+        room = np.frombuffer(lower, np.uint8)
+        begin, size = p.begin[new], p.size[new] - 1
+        found = self.logs.find(room, begin, size, hashes(room, begin, size))
         for i in range(0, len(new), 2_000):
-            self.add(p, new[i : i + 2_000], lower)
+            self.add(p, new[i : i + 2_000], lower, found[i : i + 2_000])
+        self.used.rows[: self.used.n] += np.bincount(ids, minlength=self.used.n)
         return ids
 
-    def add(self, p: Pieces, new: np.ndarray, lower: bytes) -> None:
-        s = Symbols(p.room, p.begin[new], p.size[new], self.code)
-        rest = s.place.take(s.symbol) > 0
-        n = np.bincount(s.piece[s.place > 0], self.code.length.take(s.cell[s.place > 0]), len(new)).astype(np.int64)
+    def add(self, p: Pieces, new: np.ndarray, lower: bytes, found: np.ndarray) -> None:
+        s = Symbols(p.room, p.begin[new], p.size[new], self.code, later=True)
+        n = s.decisions
         sign = (s.bit * 2 - 1).astype(np.int8)
         logits = np.empty((len(sign), 4), np.int8)
         logits[:, 0] = self.tables.node.take(s.node) * sign
         for k, table in enumerate(self.tables.within):
             logits[:, k + 1] = table.take(s.slots(k, bits_of(table))) * sign
+        self.hash.add(p.hash[new])
+        self.used.add(np.zeros(len(new), np.int64))
         self.at.add(np.cumsum(n) - n + self.logits.n)
         self.size.add(n)
-        self.logits.add(logits.view(np.int32).ravel()[rest].view(np.int8).reshape(-1, 4))
+        self.logits.add(logits)
         self.cost.add(np.full((len(new), len(GRID), 3), np.nan, np.float32))
         begin, number = p.begin[new], self.tokens.n
-        words = [lower[a:b] for a, b in zip(begin.tolist(), (begin + p.size[new] - 1).tolist(), strict=True)]
-        found = list(map(self.logs.get, words))
-        odd = [i for i, x in enumerate(found) if x is None]
-        base, tokens, rare = np.array([x or 0.0 for x in found]), np.ones(len(new), np.int64), np.zeros(len(new), bool)
+        rare = np.isnan(found)
+        base, tokens, odd = np.where(rare, 0.0, found), np.ones(len(new), np.int64), np.flatnonzero(rare)
         known = (base > 0).astype(np.int64)
-        rare[odd] = True
-        for i in odd:
-            split = words[i].split()
-            if len(split) != 1 or split[0] != words[i]:
-                got = [self.logs.get(w) for w in split]
-                split = [w for w, x in zip(split, got, strict=True) if x is None]
-                tokens[i], base[i], known[i], rare[i] = len(got), sum(x for x in got if x), sum(1 for x in got if x), bool(split)
-            if split:
-                self.rare[number + i] = b"\n".join(split).decode()
+        several = []  # pieces that other white space than a space parts, or that are empty
+        for i, a, b in zip(odd.tolist(), begin[odd].tolist(), (begin[odd] + p.size[new[odd]] - 1).tolist(), strict=True):
+            split = lower[a:b].split()
+            if len(split) == 1 and len(split[0]) == b - a:
+                self.rare[number + i] = split[0].decode()
+            else:
+                several.append((i, split))
+        logs = iter(self.logs_of([w for _, split in several for w in split]))
+        for i, split in several:
+            got = [next(logs) for _ in split]
+            unknown = [w for w, x in zip(split, got, strict=True) if math.isnan(x)]
+            got = [x for x in got if not math.isnan(x)]
+            tokens[i], base[i], known[i], rare[i] = len(split), sum(got), sum(1 for x in got if x), bool(unknown)
+            if unknown:
+                self.rare[number + i] = b"\n".join(unknown).decode()
         for store, x in ((self.tokens, tokens), (self.base, base), (self.known, known), (self.odd, rare)):
             store.add(x)
 
+    def logs_of(self, words: list[bytes]) -> list[float]:
+        room, size = np.frombuffer(b"".join(words), np.uint8), np.array([*map(len, words)], np.int64)
+        begin = np.cumsum(size) - size
+        return self.logs.find(room, begin, size, hashes(room, begin, size)).tolist()
+
     def costs(self, ids: np.ndarray, point: np.ndarray) -> np.ndarray:
         """(nats, gradients) of each piece at its grid point."""
-        out = self.cost.rows[ids, point]
-        if np.isnan(out[:, 0]).any():
-            pairs = np.unique(ids[np.isnan(out[:, 0])] * len(GRID) + point[np.isnan(out[:, 0])])
+        cells, each = self.cost.rows.reshape(-1, 3), ids * len(GRID) + point
+        out = cells.take(each, axis=0)
+        new = np.isnan(out[:, 0])
+        if new.any():
+            pairs = np.unique(each[new])
             for a in range(0, len(pairs), 4_000):
                 self.work_out(pairs[a : a + 4_000] // len(GRID), pairs[a : a + 4_000] % len(GRID))
-            out = self.cost.rows[ids, point]
+            out[new] = cells.take(each[new], axis=0)
         return out
 
     def work_out(self, ids: np.ndarray, point: np.ndarray) -> None:
@@ -648,7 +723,7 @@ def score_texts(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
     model, counts = learn(rows, modulus, held, frequent, codes, most_bits, slice_bytes)
-    logs = {w.encode(): math.log10(n + 1) for w, n in model.words.items()}
+    logs = Words({w.encode(): math.log10(n + 1) for w, n in model.words.items()})
     sent = rows.sparkSession.sparkContext.broadcast((logs, model.code, model.tables))
     end_log, end_known = math.log10(model.ends + 1), int(model.ends > 0)
     n, v = model.tokens, model.distinct
@@ -656,7 +731,7 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, code, tables = sent.value
         memo = Memo(code, tables, logs)
-        for batch in slices(batches, 1, slice_bytes // 4):  # for less memory
+        for batch in slices(batches, 1, slice_bytes // 2):  # for less memory
             p = Pieces(*raw(batch.column(1)))
             ids = memo.ids(p)
             nats = score_pieces(memo, p, ids, rate)
