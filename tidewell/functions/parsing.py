@@ -23,6 +23,11 @@ def to_double(text: Column) -> Column:
     return bound(text, lambda x: F.when(x != "", x.try_cast("double")))
 
 
+def to_int(text: Column) -> Column:
+    """text as an int, else null; as to_double."""
+    return bound(text, lambda x: F.when(x != "", x.try_cast("int")))
+
+
 def reading(text: Column) -> Column:
     """struct(value double, state string): used, censored_below, censored_above, blank or refused.
 
@@ -48,7 +53,7 @@ def clock_minutes(text: Column) -> Column:
     """Minutes since midnight of 9:15, 09.15, 9:15:30, 9:15 PM or 0915; null where there's none. Seconds are cut."""
     t = F.upper(F.trim(text))
     part = lambda i: F.regexp_extract(t, r"^([0-9]{1,2})[:.]?([0-9]{2})(?::[0-9]{2})?\s*([AP]M)?$", i)
-    hour, minute, half = part(1).try_cast("int"), part(2).try_cast("int"), part(3)
+    hour, minute, half = to_int(part(1)), to_int(part(2)), part(3)
     full = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
     return F.when((full < 24) & (minute < 60), full * 60 + minute)
 

@@ -103,23 +103,27 @@ def data_rows(files: DataFrame, key: str, content: str, roles: dict[str, list[st
 
 def day_of(text: Column, order: Column) -> Column:
     """Date of ISO, numeric or named-month text (3 Mar 2024, March 3, 2024), with a time and a zone mark behind it or not."""
-    t = F.trim(F.regexp_replace(text, r"(?i)\s*(z|utc|gmt|[ecmp][sd]t|[+-]\d{2}:?\d{2})$", ""))
-    part = lambda p, i: F.regexp_extract(t, p, i)
     numeric, first, second = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})\b", r"(?i)^(\d{1,2})[ -]?([a-z]{3})[a-z]*\.?,?[ -]?(\d{4})\b", r"(?i)^([a-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})\b"
-    number = lambda p, i: part(p, i).try_cast("int")
-    month = lambda p, i: F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(p, i))), F.lit(0).cast("long"))
     date = lambda y, m, d: F.format_string("%04d-%02d-%02d", y, m, d).try_cast("date")
-    year = F.when(number(numeric, 3) < 100, number(numeric, 3) + 2000).otherwise(number(numeric, 3))
-    a, b = number(numeric, 1), number(numeric, 2)
-    plain = date(year, F.when(order == "DMY", b).otherwise(a), F.when(order == "DMY", a).otherwise(b))
-    named = F.coalesce(date(number(first, 3), month(first, 2), number(first, 1)), date(number(second, 3), month(second, 1), number(second, 2)))
-    return F.coalesce(part(r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date"), named, plain)
+
+    def read(t: Column) -> Column:
+        part = lambda p, i: F.regexp_extract(t, p, i)
+        number = lambda p, i: parsing.to_int(part(p, i))
+        month = lambda p, i: F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(p, i))), F.lit(0).cast("long"))
+        year = parsing.bound(number(numeric, 3), lambda y: F.when(y < 100, y + 2000).otherwise(y))
+        a, b = number(numeric, 1), number(numeric, 2)
+        plain = date(year, F.when(order == "DMY", b).otherwise(a), F.when(order == "DMY", a).otherwise(b))
+        named = F.coalesce(date(number(first, 3), month(first, 2), number(first, 1)), date(number(second, 3), month(second, 1), number(second, 2)))
+        return F.coalesce(part(r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date"), F.when(t.rlike("[A-Za-z]{3}"), named), plain)
+
+    return parsing.bound(F.trim(F.regexp_replace(text, r"(?i)\s*(z|utc|gmt|[ecmp][sd]t|[+-]\d{2}:?\d{2})$", "")), read)
 
 
 def date_orders(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, order): DMY, MDY, both (some dates are only one, some only the other) or either (nothing tells), by all rows of each file."""
-    part = lambda i: F.regexp_extract(text, r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}", i).try_cast("int")
-    tops = rows.groupBy(key).agg(F.max(part(1)).alias("a"), F.max(part(2)).alias("b"), F.count_if(part(1) != part(2)).alias("differ"))
+    part = lambda i: F.regexp_extract(text, r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}", i)
+    told = rows.select(key, parsing.to_int(part(1)).alias("a"), parsing.to_int(part(2)).alias("b"))
+    tops = told.groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"), F.count_if(F.col("a") != F.col("b")).alias("differ"))
     order = F.when((F.col("a") > 12) & (F.col("b") > 12), "both").when(F.col("a") > 12, "DMY").when(F.col("b") > 12, "MDY").when(F.col("differ") > 0, "either").otherwise("MDY")
     return tops.select(key, order.alias("order"))
 
